@@ -16,6 +16,8 @@ from klangsieb.session import settle
 
 #: Edits allowed, as a fraction of the words of the longer text: 1 / PART.
 PART = 5
+#: Words up to which the blocks of a text are compared by place as well.
+SHORT = 32
 #: Codes of one block beyond which it is salted, and the codes each salt then has.
 HOT_BLOCK = 50_000
 SALT_ROWS = 20_000
@@ -35,23 +37,42 @@ def segments(n: int, part: int = PART) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def short_limit(part: int = PART) -> int:
+    """Beyond this length all blocks have ``part - 2`` or ``part - 1`` words."""
+    return max(SHORT, (part - 1) * (part - 2))
+
+
+def index_spans(n: int, part: int = PART) -> list[tuple[int, int, int, int]]:
+    """(size, number, start, length) of the blocks that a text of ``n`` words is indexed by.
+
+    Short texts are told apart by their size and the number of the block, long
+    ones by the words of the block alone (size and number 0).
+    """
+    far = n > short_limit(part)
+    return [(0, 0, s, k) if far else (n, i, s, k) for i, (s, k) in enumerate(segments(n, part))]
+
+
 def probe_windows(m: int, part: int = PART) -> list[tuple[int, int, int, int]]:
-    """(partner length, block, start, length) of every piece of a code of ``m`` words that may equal a partner's block.
+    """(size, number, start, length) of every piece of a text of ``m`` words that may equal a partner's block.
 
     If a text of ``n`` words is within ``k`` edits, one of its ``k + 1`` blocks
-    occurs unchanged in the other text; the first such block has at most as
-    many edits before it as blocks, and the rest of the edits after it, which
-    bounds how far it may have moved.
+    occurs unchanged in the other text. For short partners, the first such
+    block has at most as many edits before it as blocks, and the rest of the
+    edits after it, which bounds how far it may have moved. For long partners
+    all pieces of a block's length are probed, so that the probes grow with
+    the text and no faster.
     """
     out = []
-    low, high = -(-m * (part - 1) // part), m * part // (part - 1)
-    for n in range(max(low, 1), high + 1):
+    low, high, short = -(-m * (part - 1) // part), m * part // (part - 1), short_limit(part)
+    for n in range(max(low, 1), min(high, short) + 1):
         blocks = segments(n, part)
         k, shift = len(blocks) - 1, m - n
         for i, (start, length) in enumerate(blocks):
             first = max(0, start - i, start + shift - (k - i))
             last = min(m - length, start + i, start + shift + (k - i))
             out += [(n, i, s, length) for s in range(first, last + 1)]
+    if high > short:
+        out += [(0, 0, s, length) for length in (part - 2, part - 1) if length for s in range(m - length + 1)]
     return out
 
 
@@ -91,8 +112,8 @@ def piece_codes(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
 _WORDS = "id string, words array<string>, n int"
 _WORDS_ARROW = pa.schema([("id", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int32())])
 _EDITS_ARROW = pa.schema([("query", pa.string()), ("match", pa.string()), ("edits", pa.int32())])
-_CODES = "key string, n int, print bigint, size int, block int, code bigint"
-_CODES_ARROW = pa.schema([("key", pa.string()), ("n", pa.int32()), ("print", pa.int64()), ("size", pa.int32()), ("block", pa.int32()), ("code", pa.int64())])
+_CODES = "key string, n int, print bigint, size int, block int, at int, code bigint"
+_CODES_ARROW = pa.schema([("key", pa.string()), ("n", pa.int32()), ("print", pa.int64()), ("size", pa.int32()), ("block", pa.int32()), ("at", pa.int32()), ("code", pa.int64())])
 
 
 def with_words(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -119,10 +140,10 @@ def _codes(texts: DataFrame, probing: bool, part: int) -> DataFrame:
                 if n not in spans:
                     if len(spans) > 2000:
                         spans.clear()
-                    spans[n] = np.array(probe_windows(n, part) if probing else [(n, i, s, k) for i, (s, k) in enumerate(segments(n, part))], np.int64).T
+                    spans[n] = np.array(probe_windows(n, part) if probing else index_spans(n, part), np.int64).T
                 size, block, start, length = spans[n]
                 codes = word_codes(words)
-                rows.append((key, n, fingerprint(codes), size, block, piece_codes(codes, start, length)))
+                rows.append((key, n, fingerprint(codes), size, block, start, piece_codes(codes, start, length)))
                 held += len(size)
                 if held > 200_000:
                     yield _spread(rows)
@@ -137,7 +158,7 @@ def _spread(rows: list[tuple]) -> pa.RecordBatch:
     times = np.array([len(r[3]) for r in rows], np.int64)
     keys = pa.array([r[0] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), times)))
     whole = [np.repeat(np.array([r[i] for r in rows], np.int64), times) for i in (1, 2)]
-    pieces = [np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in (3, 4, 5)]
+    pieces = [np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in (3, 4, 5, 6)]
     cols = [keys, *(pa.array(c).cast(t) for c, t in zip([*whole, *pieces], _CODES_ARROW.types[1:]))]
     return pa.RecordBatch.from_arrays(cols, schema=_CODES_ARROW)
 
@@ -177,7 +198,8 @@ def near_same(queries: DataFrame, base: DataFrame, part: int = PART, hot: int =
     one of these blocks, unchanged and not far from its place
     (``probe_windows``), so joining blocks misses nothing. A pair that meets
     in a block must also lie within the Hamming radius of twice the edits
-    allowed by the 64-bit similarity fingerprints, tested inside the join;
+    allowed by the 64-bit similarity fingerprints, and the block must not have
+    moved by more than those edits, both tested inside the join;
     what is left is verified word by word. Blocks with more than ``hot`` base
     texts (a bounded number of them, as each has so many rows) are salted.
     """
@@ -188,11 +210,11 @@ def near_same(queries: DataFrame, base: DataFrame, part: int = PART, hot: int =
     crowded = index.groupBy(*where).agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
     salts = crowded.select(*where, F.least(F.ceil(F.col("rows") / SALT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts"))
     salts = F.broadcast(salts.orderBy(F.desc("salts"), *where).limit(100_000))  # 2 MB; beyond, blocks go unsalted, and lose nothing
-    salted = index.join(salts, where, "left").withColumn("salt", F.pmod(F.hash("key"), F.coalesce("salts", F.lit(1)))).select(F.col("key").alias("match"), F.col("n").alias("bn"), F.col("print").alias("bp"), *where, "salt")
-    spread = probes.join(salts, where, "left").select(F.col("key").alias("query"), F.col("n").alias("qn"), F.col("print").alias("qp"), *where, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    salted = index.join(salts, where, "left").withColumn("salt", F.pmod(F.hash("key"), F.coalesce("salts", F.lit(1)))).select(F.col("key").alias("match"), F.col("n").alias("bn"), F.col("print").alias("bp"), F.col("at").alias("ba"), *where, "salt")
+    spread = probes.join(salts, where, "left").select(F.col("key").alias("query"), F.col("n").alias("qn"), F.col("print").alias("qp"), F.col("at").alias("qa"), *where, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     longest = F.greatest("qn", "bn")
-    radius = F.floor(longest / F.lit(part)).cast("int") * 2
-    near = F.bit_count(F.col("qp").bitwiseXOR(F.col("bp"))) <= radius
+    edits = F.floor(longest / F.lit(part)).cast("int")
+    near = (F.abs(F.col("qn") - F.col("bn")) <= edits) & (F.abs(F.col("qa") - F.col("ba")) <= edits) & (F.bit_count(F.col("qp").bitwiseXOR(F.col("bp"))) <= 2 * edits)
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*where, "salt"]]
     found = spread.alias("a").join(salted.alias("b"), _all(on) & near, "inner").select("query", "match").distinct()
     full = found.join(q_texts.select(F.col("key").alias("query"), F.col("words").alias("x")), "query").join(b_texts.select(F.col("key").alias("match"), F.col("words").alias("y")), "match")
