@@ -129,7 +129,7 @@ def quota_cover(index: DataFrame, quota: int, budget: float) -> DataFrame:
             taken.append((clip, word, len(taken) + 1))
         return pd.DataFrame(taken, columns=["clip", "word", "pick"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(fold, "clip string, word string, pick int")
+    return rows.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fold, "clip string, word string, pick int")
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:

@@ -12,8 +12,8 @@ from klangsieb.plans.catalog import query, table
 from klangsieb.plans.selection import META, meta
 from klangsieb.plans.words import HELD, held_texts
 
-_FORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+', ' ', 'g'))"
-_PAIR = f"(select t.idx, lower(trim(m.corpus)) as corpus, {_FORM.format('t.t')} as r, {_FORM.format('m.text')} as h from {HELD} t join {META} m using (idx) where t.t is not null and m.text is not null)"
+_FORM = "trim(regexp_replace(lower(nfc_normalize({0})), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_PAIR = f"(select listed.idx, lower(trim(m.corpus)) as corpus, {_FORM.format('listed.text')} as r, {_FORM.format('m.text')} as h from {HELD} listed join {META} m using (idx) where listed.text is not null and m.text is not null)"
 _WORDED = f"(select idx, corpus, string_split(r, ' ') as rw, string_split(h, ' ') as hw, list_distinct(string_split(r, ' ') || string_split(h, ' ')) as d from {_PAIR})"
 _EDITED = f"(select idx, corpus, levenshtein(array_to_string(list_transform(rw, lambda x: chr(32 + list_position(d, x)::int)), ''), array_to_string(list_transform(hw, lambda x: chr(32 + list_position(d, x)::int)), '')) as edits, len(rw) as n from {_WORDED} where len(d) <= 94)"
 
@@ -22,7 +22,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Reference (the listed text) and hypothesis (the processed text) of each clip, normalized."""
     h = meta(spark, folder).select("idx", F.lower(F.trim("corpus")).alias("corpus"), F.col("text").alias("h"))
     p = held_texts(spark, folder).join(h, "idx").where("text is not null and h is not null")
-    return p.select("idx", "corpus", text.eval_form(F.col("text")).alias("r"), text.eval_form(F.col("h")).alias("h"))
+    return p.select("idx", "corpus", text.eval_form(text.nfc(F.col("text"))).alias("r"), text.eval_form(text.nfc(F.col("h"))).alias("h"))
 
 
 def _edits(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,31 +39,31 @@ def gaps_islands_runs(spark: SparkSession, folder: str) -> DataFrame:
       f as (select user_id, n, start, stop, 1 as no from s where n = 1
         union all select s.user_id, s.n, case when s.start - f.stop < 3600 and s.stop - f.start <= 20000 then f.start else s.start end, s.stop, case when s.start - f.stop < 3600 and s.stop - f.start <= 20000 then f.no else f.no + 1 end
         from f join s on s.user_id = f.user_id and s.n = f.n + 1)
-      select user_id, round(min(start), 2) as start, round(max_by(stop, n), 2) as "end" from f group by user_id, no""",
+      select user_id, round(min(start), 3) as start, round(max_by(stop, n), 3) as "end" from f group by user_id, no""",
 )
 def bounded_gap_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Spans joined over gaps below an hour, to at most 20,000 seconds."""
     blocks = spans.split_at_gaps(_spans(spark, folder), "user_id", "start", "end", 3600.0)
     lists = blocks.groupBy("user_id", "block").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     out = lists.select("user_id", F.explode(spans.merge_spans(F.col("s"), 3600.0, 20000.0)).alias("m"))
-    return out.select("user_id", F.round("m.start", 2).alias("start"), F.round("m.end", 2).alias("end"))
+    return out.select("user_id", F.round("m.start", 3).alias("start"), F.round("m.end", 3).alias("end"))
 
 
 _A, _B = f"(select * from {_SPANS} where event_type = 'click')", f"(select * from {_SPANS} where event_type <> 'click')"
 
 
-@query("interval_intersection", f'select a.user_id, b.event_type as other, round(greatest(a.start, b.start), 2) as start, round(least(a."end", b."end"), 2) as "end" from {_A} a join {_B} b on a.user_id = b.user_id and least(a."end", b."end") - greatest(a.start, b.start) >= 0.4')
+@query("interval_intersection", f'select a.user_id, b.event_type as other, round(greatest(a.start, b.start), 3) as start, round(least(a."end", b."end"), 3) as "end" from {_A} a join {_B} b on a.user_id = b.user_id and least(a."end", b."end") - greatest(a.start, b.start) >= 0.4')
 def interval_intersection(spark: SparkSession, folder: str) -> DataFrame:
     s = _spans(spark, folder)
     both = merge.overlaps(s.where("event_type = 'click'"), s.where("event_type <> 'click'"), "user_id", 0.4, 600.0)
-    return both.select("user_id", F.col("b_event_type").alias("other"), F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+    return both.select("user_id", F.col("b_event_type").alias("other"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("interval_overlap_sum", f'select a.user_id, round(a.start, 2) as start, round(sum(least(a."end", b."end") - greatest(a.start, b.start)), 2) as overlap from {_A} a join {_B} b on a.user_id = b.user_id and least(a."end", b."end") - greatest(a.start, b.start) >= 0 group by a.user_id, a.start')
+@query("interval_overlap_sum", f'select a.user_id, round(a.start, 3) as start, round(sum(least(a."end", b."end") - greatest(a.start, b.start)), 3) as overlap from {_A} a join {_B} b on a.user_id = b.user_id and least(a."end", b."end") - greatest(a.start, b.start) >= 0 group by a.user_id, a.start')
 def interval_overlap_sum(spark: SparkSession, folder: str) -> DataFrame:
     s = _spans(spark, folder)
     both = merge.overlaps(s.where("event_type = 'click'"), s.where("event_type <> 'click'"), "user_id", 0.0, 600.0)
-    return both.groupBy("user_id", "a_start").agg(F.round(F.sum(F.col("end") - F.col("start")), 2).alias("overlap")).select("user_id", F.round("a_start", 2).alias("start"), "overlap")
+    return both.groupBy("user_id", "a_start").agg(F.round(F.sum(F.col("end") - F.col("start")), 3).alias("overlap")).select("user_id", F.round("a_start", 3).alias("start"), "overlap")
 
 
 _T0 = "(select min(us) as t0, max(us) as t1 from " + _EV + ")"
@@ -81,11 +81,11 @@ def tumbling_min_tail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "first_last_windows",
-    "select user_id, round(list_avg(v[1:2]), 6) as first, round(list_avg(v[greatest(len(v) - 1, 1):]), 6) as last from (select user_id, list(m order by w) as v from (select user_id, date_trunc('day', ts) as w, round(avg(value), 6) as m from events group by 1, 2) group by user_id)",
+    "select user_id, round(list_avg(v[1:2]), 6) as first, round(list_avg(v[greatest(len(v) - 1, 1):]), 6) as last from (select user_id, list(m order by w) as v from (select user_id, date_trunc('day', ts) as w, round(avg(value), 4) as m from events group by 1, 2) group by user_id)",
 )
 def first_last_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Means over a user's first two and last two days."""
-    days = _events(spark, folder).groupBy("user_id", F.date_trunc("day", "at").alias("w")).agg(F.round(F.avg("value"), 6).alias("m"))
+    days = _events(spark, folder).groupBy("user_id", F.date_trunc("day", "at").alias("w")).agg(F.round(F.avg("value"), 4).alias("m"))
     lists = days.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("v"))
     fl = lists.select("user_id", arrays.first_last_means(F.col("v")).alias("x"))
     return fl.select("user_id", F.round("x.first", 6).alias("first"), F.round("x.last", 6).alias("last"))

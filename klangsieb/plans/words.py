@@ -118,12 +118,12 @@ def coverage_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return n.orderBy(F.desc("n"), "folded").limit(300).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("words"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(replace(replace(replace(lower(text), '%', case when lang = 'de' then ' prozent ' else ' percent ' end), '€', ' euro '), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{85}\\x{1c}-\\x{1f}]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(replace(replace(replace(lower(nfc_normalize(text)), '%', case when lang = 'de' then ' prozent ' else ' percent ' end), '€', ' euro '), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 
 
 @query("normalized_text_eval", f"select distinct id, {_NORM} as form from testset")
 def normalized_text_eval(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "testset").select("id", text.eval_form_signs(F.col("text"), F.col("lang")).alias("form")).distinct()
+    return table(spark, folder, "testset").select("id", text.eval_form_signs(text.nfc(F.col("text")), F.col("lang")).alias("form")).distinct()
 
 
 @query(
@@ -139,14 +139,14 @@ def proportional_text_cut(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "regex_class_stats",
-    f"""select lower(trim(corpus)) as corpus, count(*) filter (regexp_matches(text, '[0-9]')) as numbers, count(*) filter (regexp_matches(text, '\\b[A-Z]{{2,}}\\b')) as acronyms, count(*) filter (regexp_matches(text, '\\b[A-Za-z]\\b')) as letters,
+    f"""select lower(trim(corpus)) as corpus, count(*) filter (regexp_matches(text, '[0-9]')) as numbers, count(*) filter (regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,}}([^\\p{{L}}\\p{{N}}_]|$)')) as acronyms, count(*) filter (regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Za-z]([^\\p{{L}}\\p{{N}}_]|$)')) as letters,
       round(coalesce(sum(dur::decimal(18,6)) filter (regexp_matches(text, '[0-9]')), 0)::double / 3600, 6) as number_hours from {META} group by 1""",
 )
 def regex_class_stats(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
     digits = t.rlike("[0-9]")
     return meta(spark, folder).groupBy(F.lower(F.trim("corpus")).alias("corpus")).agg(
-        F.count_if(digits).alias("numbers"), F.count_if(t.rlike(r"\b[A-Z]{2,}\b")).alias("acronyms"), F.count_if(t.rlike(r"\b[A-Za-z]\b")).alias("letters"),
+        F.count_if(digits).alias("numbers"), F.count_if(t.rlike(r"(^|[^\p{L}\p{N}_])[A-Z]{2,}([^\p{L}\p{N}_]|$)")).alias("acronyms"), F.count_if(t.rlike(r"(^|[^\p{L}\p{N}_])[A-Za-z]([^\p{L}\p{N}_]|$)")).alias("letters"),
         F.round(F.coalesce(F.sum(F.when(digits, F.col("dur").cast("decimal(18,6)"))), F.lit(0)).cast("double") / 3600, 6).alias("number_hours"),
     )
 
