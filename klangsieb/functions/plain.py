@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters that carry no sound and are removed.
-INVISIBLE = "­​‌‍﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _RUN = re.compile(r"[^\W_]+")

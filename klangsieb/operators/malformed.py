@@ -19,7 +19,7 @@ TSV_FIELDS = ("client_id", "path", "sentence", "up_votes", "down_votes")
 _WAV = re.compile(r"wavs/\S+\.wav")
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 _DIGITS = re.compile(r"[0-9]+")
-_BAD = re.compile("[\x00-\x08\x0a-\x1f�]")
+_BAD = re.compile("[\x00-\x08\x0a-\x1f\ufffd]")
 
 SCHEMA = (
     "line_id bigint, file_kind string, reason string, wav_rel string, text string, duration double, "
@@ -150,7 +150,7 @@ def parse_lines(ids: list, kinds: list, lines: list) -> pa.RecordBatch:
     clean: list[str] = []
     groups: dict[str | None, list[int]] = {}
     for i, line in enumerate(lines):
-        line = "" if line is None else line.removeprefix("﻿").strip(" \r")
+        line = "" if line is None else line.removeprefix("\ufeff").strip(" \r")
         clean.append(line)
         if line.strip():
             groups.setdefault(kinds[i] if kinds[i] in ("listing", "pipe", "tsv") else None, []).append(i)
