@@ -216,8 +216,10 @@ def near_same(queries: DataFrame, base: DataFrame, part: int = PART, hot: int =
     edits = F.floor(longest / F.lit(part)).cast("int")
     near = (F.abs(F.col("qn") - F.col("bn")) <= edits) & (F.abs(F.col("qa") - F.col("ba")) <= edits) & (F.bit_count(F.col("qp").bitwiseXOR(F.col("bp"))) <= 2 * edits)
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*where, "salt"]]
-    found = spread.alias("a").join(salted.alias("b"), _all(on) & near, "inner").select("query", "match").distinct()
-    full = found.join(q_texts.select(F.col("key").alias("query"), F.col("words").alias("x")), "query").join(b_texts.select(F.col("key").alias("match"), F.col("words").alias("y")), "match")
+    found = spread.hint("merge").alias("a").join(salted.hint("merge").alias("b"), _all(on) & near, "inner").select("query", "match").distinct()
+    # what a Python function puts out is estimated by what goes in, so none of these sides may be broadcast
+    full = found.join(q_texts.select(F.col("key").alias("query"), F.col("words").alias("x")).hint("merge"), "query")
+    full = full.join(b_texts.select(F.col("key").alias("match"), F.col("words").alias("y")).hint("merge"), "match")
     return _verify(full, part), q_rows.select("id", "key").distinct(), b_rows.select("id", "key").distinct()
 
 
@@ -230,7 +232,7 @@ def _all(conditions: list[Column]) -> Column:
 
 def expand(pairs: DataFrame, query_members: DataFrame, base_members: DataFrame, salts: int = 16) -> DataFrame:
     """(query id, base id, edits) of all rows; the copies of one text are spread over ``salts`` tasks."""
-    near = pairs.join(query_members.select(F.col("key").alias("query"), F.col("id").alias("query_id")), "query")
+    near = pairs.join(query_members.select(F.col("key").alias("query"), F.col("id").alias("query_id")).hint("merge"), "query")
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = base_members.select(F.col("key").alias("match"), F.col("id").alias("base_id"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
-    return near.join(rows, ["match", "salt"]).select("query_id", "base_id", "edits")
+    return near.join(rows.hint("merge"), ["match", "salt"]).select("query_id", "base_id", "edits")

@@ -158,12 +158,12 @@ def balanced_splits(members: DataFrame, shares: dict[str, float], bins: int = BI
         chunks = math.ceil(chunks / FAN_IN)
         level = settle(sums.withColumn("up", F.floor(F.col("chunk") / FAN_IN)).groupBy("up").applyInPandas(_combine(bins), "chunk bigint, bin bigint, up bigint, to bigint, weight bigint"))
         move = level.select(F.col("chunk").alias("at"), F.col("bin").alias("to"), F.col("up").alias("at2"), F.col("to").alias("to2"))
-        to = to.join(move, ["at", "to"]).select("chunk", "bin", F.col("at2").alias("at"), F.col("to2").alias("to"))
+        to = to.join(move.hint("merge"), ["at", "to"]).select("chunk", "bin", F.col("at2").alias("at"), F.col("to2").alias("to"))
         sums = level.groupBy(F.col("up").alias("chunk"), F.col("to").alias("bin")).agg(F.sum("weight").alias("weight"))
     final = {r["bin"]: r["weight"] for r in sums.collect()}  # at most `bins` rows
     split_of = allocate(final, shares)
     table = members.sparkSession.createDataFrame([(int(b), s) for b, s in split_of.items()], "to bigint, split string")
-    return placed.join(to, ["chunk", "bin"]).join(F.broadcast(table), "to").select("component", "weight", F.col("to").alias("bin"), "split")
+    return placed.join(to.hint("merge"), ["chunk", "bin"]).join(F.broadcast(table), "to").select("component", "weight", F.col("to").alias("bin"), "split")
 
 
 def split_report(members: DataFrame, present: DataFrame, assigned: DataFrame) -> DataFrame:
