@@ -65,34 +65,56 @@ def overlap_start(data: bytes, cut: int, floor: int, overlap: int) -> int:
 def cut_points(data: bytes, limit: int = LIMIT, overlap: int = OVERLAP, reach: float = REACH) -> list[tuple[int, int, int, str]]:
     """(start, new, end, boundary) of every piece: ``data[start:end]``, of which ``data[start:new]`` repeats the piece before.
 
-    The least number of pieces is taken, equal targets are placed, each is
+    The least number of pieces is taken and equal targets are placed; each is
     snapped to the strongest boundary within reach that keeps the piece under
-    the limit; if the last piece comes out too long, one more piece is tried.
+    the limit, or, where there is none in reach, to one anywhere the piece may
+    end. What is left is dealt evenly to the pieces that are left. Where a
+    limit fails, pieces are added, in doubling steps and then back by halves
+    to the least number that holds.
     """
     n = len(data)
     if n <= limit:
         return [(0, 0, n, "end")]
-    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
-    radius = int(limit * reach)
-    while True:
-        out, start, new = [], 0, 0
-        for i in range(1, pieces):
-            # what is left is dealt evenly, so that one early cut doesn't crowd the last piece
-            target = new + (n - new) // (pieces - i + 1)
-            high = min(target + radius, start + limit, n - 1)
-            low = max(target - radius, new, high - 2 * radius)
-            if n - new <= 0 or high <= low:
-                break
-            cut, kind = snap(data, min(target, high), low, high)
-            if cut <= new:
-                break
-            out.append((start, new, cut, kind))
-            start, new = overlap_start(data, cut, start, overlap), cut
-        if len(out) == pieces - 1 and n - start <= limit:
-            return [*out, (start, new, n, "end")]
-        pieces += 1
-        if pieces > n:
-            raise ValueError("no character fits into the limit")
+    fails = max(2, -(-(n - overlap) // (limit - overlap))) - 1
+    step, out = 1, None
+    while out is None:
+        holds = fails + step
+        out = _try_cuts(data, holds, limit, overlap, int(limit * reach))
+        if out is None:
+            if holds > n:
+                raise ValueError("no character fits into the limit")
+            fails, step = holds, 2 * step
+    while holds - fails > 1:
+        middle = (holds + fails) // 2
+        fewer = _try_cuts(data, middle, limit, overlap, int(limit * reach))
+        if fewer is None:
+            fails = middle
+        else:
+            holds, out = middle, fewer
+    return out
+
+
+def _try_cuts(data: bytes, pieces: int, limit: int, overlap: int, radius: int) -> list[tuple[int, int, int, str]] | None:
+    """The cuts into so many pieces, or null where one would exceed the limit."""
+    n = len(data)
+    out: list[tuple[int, int, int, str]] = []
+    start = new = 0
+    for i in range(1, pieces):
+        top = min(start + limit, n - 1)
+        target = min(new + (n - new) // (pieces - i + 1), top)
+        low, high = max(target - radius, new), min(target + radius, top)
+        if high <= low:
+            return None
+        cut, kind = snap(data, target, low, high)
+        if kind == "character" and (low > new or high < top):
+            wide, wide_kind = snap(data, target, new, top)
+            if wide_kind != "character":
+                cut, kind = wide, wide_kind
+        if cut <= new:
+            return None
+        out.append((start, new, cut, kind))
+        start, new = overlap_start(data, cut, start, overlap), cut
+    return [*out, (start, new, n, "end")] if n - start <= limit else None
 
 
 _PIECE = "doc bigint, piece int, pieces int, start bigint, fresh bigint, size int, boundary string, text string"

@@ -47,6 +47,21 @@ def test_no_boundary_and_tight_fit():
     assert len(cut_points(b"x" * 2048)) == 1
 
 
+def test_a_word_end_out_of_reach_is_better_than_none():
+    data = (b"a" * 1200 + b" " + b"b" * 500) * 12
+    cuts = cut_points(data)
+    _check(data, cuts, 2048, 128)
+    assert {k for *_, k in cuts[:-1]} == {"word"}
+
+
+def test_a_huge_text_takes_few_rounds():
+    rng = random.Random(1)
+    data = " ".join("w" * rng.randint(1, 900) for _ in range(40_000)).encode()
+    cuts = cut_points(data)
+    _check(data, cuts, 2048, 128)
+    assert len(cuts) <= 1.35 * len(data) / 1920
+
+
 def _run(spark, rows, **how):
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "doc_id long, text string, piece int, boundary string")
     return cut_texts(df, **how).collect()
