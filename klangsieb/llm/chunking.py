@@ -103,15 +103,13 @@ def _try_cuts(data: bytes, pieces: int, limit: int, overlap: int, radius: int) -
         top = min(start + limit, n - 1)
         target = min(new + (n - new) // (pieces - i + 1), top)
         low, high = max(target - radius, new), min(target + radius, top)
-        if high <= low:
-            return None
-        cut, kind = snap(data, target, low, high)
+        cut, kind = snap(data, target, low, high) if high > low else (new, "")
         if kind == "character" and (low > new or high < top):
             wide, wide_kind = snap(data, target, new, top)
             if wide_kind != "character":
                 cut, kind = wide, wide_kind
-        if cut <= new:
-            return None
+        if cut <= new:  # nothing is left to cut: fewer pieces do, if the rest fits
+            break
         out.append((start, new, cut, kind))
         start, new = overlap_start(data, cut, start, overlap), cut
     return [*out, (start, new, n, "end")] if n - start <= limit else None
