@@ -65,6 +65,33 @@ def block_number(a: Column, delimiter: Column) -> Column:
     return F.transform(a, lambda _, i: F.size(F.filter(F.slice(a, 1, i), lambda x: x == delimiter)))
 
 
+def block_labels(ids: Column, frame: Column, end: Column, first_only: Column, ignore: int = -100, first: int = -101) -> Column:
+    """Training labels: frames keep their id, or get ``first`` in blocks whose flag in ``first_only`` is set; ends keep theirs.
+
+    A block ends with ``end``; everything else is ignored.
+    """
+    block = block_number(ids, end)
+    return F.zip_with(
+        ids,
+        block,
+        lambda x, b: F.when(x == end, end).when(x == frame, F.when(F.coalesce(F.get(first_only, b), F.lit(False)), first).otherwise(frame)).otherwise(ignore),
+    )
+
+
+def slot_labels(labels: Column, codes: Column, end: Column, end_class: int, slots: int, ignore: int = -100, first: int = -101) -> Column:
+    """Labels of ``slots`` code books per place: the place's codes, only the first of them, the end class, or none.
+
+    ``codes`` holds one array of codes per place (null where it has none).
+    """
+    rest = F.array_repeat(F.lit(ignore), slots - 1)
+
+    def one(x: Column, c: Column) -> Column:
+        head = F.when(x == first, F.get(c, F.lit(0)))
+        return F.when(x == end, F.concat(F.array(F.lit(end_class)), rest)).when(x == first, F.concat(F.array(head), rest)).when(x == ignore, F.array_repeat(F.lit(ignore), slots)).otherwise(c)
+
+    return F.zip_with(labels, codes, one)
+
+
 def segment_mask(lengths: Column, is_text: Column) -> Column:
     """One flag per token, from segments given as lengths and flags."""
     return F.flatten(F.zip_with(lengths, is_text, lambda n, t: F.array_repeat(t, n.cast("int"))))

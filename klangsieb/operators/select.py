@@ -132,6 +132,17 @@ def quota_cover(index: DataFrame, quota: int, budget: float) -> DataFrame:
     return rows.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fold, "clip string, word string, pick int")
 
 
+def admit(df: DataFrame, key: str, order: Column, speaker: str, cap: int, amount: Column, budget: int) -> DataFrame:
+    """Rows in ``order`` (a hash, say) as long as their speaker has fewer than ``cap`` and the whole is below ``budget``.
+
+    The same as taking them one by one: a speaker's first ``cap`` rows are
+    those that may come in, and of these all whose predecessors' amounts
+    (whole numbers) stay below the budget.
+    """
+    some = best_per_group(df.withColumn("_o", order).withColumn("_a", amount.cast("bigint")), [speaker], [F.col("_o"), F.col(key)], cap).drop("rank")
+    return running_sum(some, F.col("_a"), [F.col("_o"), F.col(key)], out="before").where(F.col("before") < budget).drop("_o", "_a")
+
+
 def first_reason(checks: list[tuple[str, Column]]) -> Column:
     """The name of the first check that fails (is true); null where none does. Null checks don't fail."""
     out = F.lit(None).cast("string")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from klangsieb.functions.arrays import cosine
+
 #: Query vectors held by a task at once; members of a group clustered at once.
 BLOCK = 4096
 CLUSTER_CHUNK = 1500
@@ -178,3 +180,25 @@ def agglomerate(df: DataFrame, group: str, item: str, vector: str, cut: float =
     heads = small.groupBy("grp", "part").agg(F.first("mean").alias("mean"), F.first("n").alias("n"))
     joined = heads.groupBy("grp").applyInPandas(second, "grp int, part bigint, cluster bigint")
     return small.select("grp", "item", "part").join(joined, ["grp", "part"]).select(F.col("grp").alias(group), F.col("item").alias(item), "cluster")
+
+
+def dissolve_small(members: DataFrame, group: str, item: str, cluster: str, weight: str, vector: str, least: float, similar: float) -> DataFrame:
+    """Clusters below ``least`` in weight are dissolved: (group, item, cluster), null where a member fits nowhere.
+
+    Members of the dissolved clusters go to the nearest centroid of the ones
+    that stay, if the cosine reaches ``similar``. All small clusters are
+    dissolved at once and against the centroids of the original members, so
+    the outcome doesn't depend on an order. Centroids are one row a cluster
+    and meet their group's members by an equi-join.
+    """
+    rows = members.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.col(cluster).alias("c"), F.col(weight).cast("double").alias("w"), F.col(vector).cast("array<double>").alias("vec"))
+    total = rows.groupBy("grp", "c").agg(F.sum("w").alias("t"))
+    large = total.where(F.col("t") >= least).select("grp", "c")
+    stay = rows.join(large, ["grp", "c"], "left_semi")
+    keyed = stay.withColumn("key", F.struct("grp", "c"))
+    heads = centroids(keyed, "key", "vec").select(F.col("key.grp").alias("grp"), F.col("key.c").alias("to"), "centroid")
+    gone = rows.join(large, ["grp", "c"], "left_anti")
+    sims = gone.join(heads, "grp", "left").withColumn("s", F.round(cosine(F.col("vec"), F.col("centroid")), 9))
+    best = sims.groupBy("grp", "item").agg(F.max(F.struct("s", (-F.col("to")).alias("m"))).alias("b"))
+    moved = best.select("grp", "item", F.when(F.col("b.s") >= similar, -F.col("b.m")).alias("c"))
+    return stay.select("grp", "item", "c").unionByName(moved).select(F.col("grp").alias(group), F.col("item").alias(item), F.col("c").alias(cluster))

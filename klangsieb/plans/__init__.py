@@ -1,6 +1,6 @@
 """Query families. Importing this package registers all of them."""
 
-from klangsieb.plans import catalog, joining, loading, scoring, selection, star, streams, structures, timeline, words  # noqa: F401
+from klangsieb.plans import catalog, curation, joining, loading, scoring, selection, star, streams, structures, timeline, words  # noqa: F401
 
 
 def all_queries() -> dict:
