@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from klangsieb.session import settle, shuffle_width
 
+#: Rows of one group that one task's window goes over.
+STRETCH = 50_000
+
 
 def _null_safe(left: str, right: str, names: Sequence[str]) -> Column:
     cond = F.lit(True)
@@ -75,6 +78,21 @@ def position(df: DataFrame, order: Sequence[Column | Down], by: Sequence[str] =
     return ranked.withColumn(out, F.col("_before") + 1).drop("_before")
 
 
+def stretches(df: DataFrame, by: Sequence[str], order: Sequence[Column | Down], halo: int, size: int = STRETCH) -> DataFrame:
+    """Cut each group, in order, into stretches of ``size`` rows that also hold the last ``halo`` rows of the one before.
+
+    Adds ``_stretch``, ``_place`` and ``_own`` (false for the repeated rows).
+    A window over (``by``, ``_stretch``) ordered by ``_place`` that looks back
+    at most ``halo`` rows is then right for all own rows, and a hot group is
+    the work of many tasks.
+    """
+    placed = position(df, order, by, out="_place")
+    at = F.floor((F.col("_place") - 1) / size)
+    late = (F.col("_place") - 1) % size >= size - halo
+    both = placed.withColumn("_stretch", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at))))
+    return both.withColumn("_own", F.col("_stretch") == at)
+
+
 def holding(df: DataFrame, key: str, latest: str | None = None, first: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per non-null ``key``: that with the greatest ``latest`` or the least ``first``.
 

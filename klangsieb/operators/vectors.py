@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from klangsieb.functions.arrays import cosine
+from klangsieb.session import settle
 
 #: Query vectors held by a task at once; members of a group clustered at once.
 BLOCK = 4096
@@ -154,32 +155,45 @@ def agglomerate(df: DataFrame, group: str, item: str, vector: str, cut: float =
     """(group, item, cluster): average-linkage clusters inside each group.
 
     A group of up to ``chunk`` members is clustered as a whole. A larger one
-    is hashed to chunks of that size; their clusters, as means with sizes,
-    are clustered again in the same way (a group never yields more than its
-    chunks' clusters). Clusters are named by their least item.
+    is hashed to chunks of that size; their clusters, as means with sizes, are
+    clustered again in the same way, level by level, until a group's clusters
+    fit into one chunk or no longer get fewer. No task holds more than about
+    one chunk. Clusters are named by their least item; null vectors are left
+    out.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    rows = df.join(sizes, group).select(F.col(group).alias("grp"), F.col(item).cast("bigint").alias("item"), F.col(vector).cast("array<float>").alias("vec"), F.pmod(F.xxhash64(item), F.col("chunks")).alias("chunk"))
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable")
-        v = np.stack(pdf["vec"].to_list()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        label = linkage_labels(v, np.ones(len(v)), cut)
-        ids = pdf["item"].to_numpy()
-        means = {k: v[label == k].mean(axis=0) for k in np.unique(label)}
-        return pd.DataFrame({"grp": pdf["grp"], "item": ids, "part": ids[label], "mean": [means[k] for k in label], "n": [int((label == k).sum()) for k in label]})
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part", kind="stable")
-        label = linkage_labels(np.stack(pdf["mean"].to_list()), pdf["n"].to_numpy(), cut)
-        parts = pdf["part"].to_numpy()
-        return pd.DataFrame({"grp": pdf["grp"], "part": parts, "cluster": parts[label]})
-
-    small = rows.groupBy("grp", "chunk").applyInPandas(first, "grp int, item bigint, part bigint, mean array<double>, n bigint")
-    heads = small.groupBy("grp", "part").agg(F.first("mean").alias("mean"), F.first("n").alias("n"))
-    joined = heads.groupBy("grp").applyInPandas(second, "grp int, part bigint, cluster bigint")
-    return small.select("grp", "item", "part").join(joined, ["grp", "part"]).select(F.col("grp").alias(group), F.col("item").alias(item), "cluster")
+    rows = df.where(F.col(item).isNotNull() & F.col(vector).isNotNull())
+    rows = rows.select(F.col(group).alias("grp"), F.col(item).cast("bigint").alias("part"), _unit(F.col(vector).cast("array<double>")).alias("mean"), F.lit(1).cast("bigint").alias("n"))
+    kind = dict(rows.dtypes)["grp"]
+
+    def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part", kind="stable").reset_index(drop=True)
+        v, n, parts = np.stack(pdf["mean"].to_list()), pdf["n"].to_numpy(), pdf["part"].to_numpy()
+        label = linkage_labels(v, n, cut)
+        weight = {k: n[label == k].sum() for k in np.unique(label)}
+        mean = {k: (v[label == k] * n[label == k, None]).sum(axis=0) / weight[k] for k in weight}
+        return pd.DataFrame({"grp": pdf["grp"], "part": parts, "up": parts[label], "mean": [mean[k] for k in label], "n": [weight[k] for k in label]})
+
+    heads, moved, before = rows, None, None
+    for level in range(32):
+        sizes = heads.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("_n"))
+        chunks = heads.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).withColumn("chunk", F.pmod(F.xxhash64("part", F.lit(level)), F.ceil(F.col("_n") / chunk)))
+        joined = settle(chunks.groupBy("grp", "chunk").applyInPandas(join_parts, f"grp {kind}, part bigint, up bigint, mean array<double>, n bigint"))
+        step = joined.select(F.col("grp").alias("_g"), F.col("part").alias("_p"), F.col("up").alias("_u"))
+        if moved is None:
+            moved = step.select(F.col("_g").alias("grp"), F.col("_p").alias("item"), F.col("_u").alias("cluster"))
+        else:
+            moved = moved.join(step, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("cluster") == F.col("_p"))).select("grp", "item", F.col("_u").alias("cluster"))
+        heads = joined.where("part = up").select("grp", "part", "mean", "n")
+        most, total = joined.groupBy("grp").agg(F.count("*").alias("c")).agg(F.max("c"), F.sum("c")).first()
+        if most is None or most <= chunk or total == before:
+            break
+        before = total
+    return moved.select(F.col("grp").alias(group), F.col("item").alias(item), "cluster")
+
+
+def _unit(v: Column) -> Column:
+    length = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
+    return F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12)))
 
 
 def dissolve_small(members: DataFrame, group: str, item: str, cluster: str, weight: str, vector: str, least: float, similar: float) -> DataFrame:

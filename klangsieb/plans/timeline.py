@@ -43,10 +43,8 @@ def gaps_islands_runs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bounded_gap_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Spans joined over gaps below an hour, to at most 20,000 seconds."""
-    blocks = spans.split_at_gaps(_spans(spark, folder), "user_id", "start", "end", 3600.0)
-    lists = blocks.groupBy("user_id", "block").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    out = lists.select("user_id", F.explode(spans.merge_spans(F.col("s"), 3600.0, 20000.0)).alias("m"))
-    return out.select("user_id", F.round("m.start", 3).alias("start"), F.round("m.end", 3).alias("end"))
+    out = spans.merge_near(_spans(spark, folder), "user_id", "start", "end", 3600.0, 20000.0)
+    return out.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 _A, _B = f"(select * from {_SPANS} where event_type = 'click')", f"(select * from {_SPANS} where event_type <> 'click')"

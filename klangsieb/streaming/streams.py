@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from klangsieb.operators.ordered import STRETCH, stretches
 from klangsieb.session import ensure_checkpoint_dir
 from klangsieb.sources.sinks import append_once
 
@@ -151,10 +152,11 @@ def shift_buffer(held: Column, new: Column, width: int) -> Column:
     return F.slice(both, F.greatest(F.size(both) - width + 1, F.lit(1)), width)
 
 
-def left_context(df: DataFrame, key: str, order: str, value: str, k: int, out: str = "context") -> DataFrame:
-    """Adds the ``k`` values before each row, across chunk borders, fewer at the start of a key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-k, -1)
-    return df.withColumn(out, F.collect_list(value).over(w))
+def left_context(df: DataFrame, key: str, order: str, value: str, k: int, out: str = "context", size: int = STRETCH) -> DataFrame:
+    """Adds the ``k`` values before each row, across chunk borders, fewer at the start of a key; a hot key is cut into stretches."""
+    cut = stretches(df, [key], [F.col(order)], k, size)
+    w = Window.partitionBy(key, "_stretch").orderBy("_place").rowsBetween(-k, -1)
+    return cut.withColumn(out, F.collect_list(value).over(w)).where("_own").drop("_own", "_stretch", "_place")
 
 
 def process_unseen(spark: SparkSession, done: Callable[[], DataFrame], todo: DataFrame, key: str) -> DataFrame:

@@ -135,11 +135,23 @@ def test_islands_and_merges(spark):
     rows = spark.createDataFrame([("a", *x) for x in s], "k string, start double, end double")
     one = rows.groupBy("k").agg(spans.merge_spans(F.collect_list(F.struct("start", "end")), 0.3, 9.5).alias("m")).first()["m"]
     assert [tuple(x) for x in one] == [(0.0, 9.0), (9.1, 11.0), (20.0, 21.0)]
-    assert [r["block"] for r in spans.split_at_gaps(rows, "k", "start", "end", 0.3).orderBy("start").collect()] == [1, 1, 1, 1, 2]
+    for size in (50_000, 2):
+        assert [r["block"] for r in spans.split_at_gaps(rows, "k", "start", "end", 0.3, size).orderBy("start").collect()] == [1, 1, 1, 1, 2]
+    assert sorted((r["start"], r["end"]) for r in spans.merge_near(rows, "k", "start", "end", 0.3, 9.5).collect()) == [(0.0, 9.0), (9.1, 11.0), (20.0, 21.0)]
+    assert spans.merge_near(rows.limit(0), "k", "start", "end", 0.3, 9.5).collect() == []
     t = spans.tumbling(rows, F.col("start"), 10.0, 5.0, F.lit(21.0)).select("start", "window").collect()
     assert sorted(map(tuple, t)) == [(0.0, 0), (1.2, 0), (4.1, 0), (9.1, 0)]
 
 
+def test_stretches_of_a_hot_key(spark):
+    from klangsieb.streaming.streams import left_context
+
+    rows = [("hot", i) for i in range(40)] + [("a", 3), ("a", 1), (None, 5), (None, 6)]
+    for size in (5, 1000):
+        got = {(r["k"], r["o"]): r["context"] for r in left_context(spark.createDataFrame(rows, "k string, o int"), "k", "o", "o", 3, size=size).collect()}
+        assert got == {("hot", i): list(range(max(0, i - 3), i)) for i in range(40)} | {("a", 1): [], ("a", 3): [1], (None, 5): [], (None, 6): [5]}
+
+
 def _unit(rng, n, d=8):
     v = rng.normal(size=(n, d))
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
