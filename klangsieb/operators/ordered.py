@@ -22,6 +22,14 @@ def _null_safe(left: str, right: str, names: Sequence[str]) -> Column:
     return cond
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns. Others may have any name, also one that differs in case only or comes twice (the first counts)."""
+    cols = df.columns
+    fold = [c.lower() for c in cols]
+    at = [cols.index(n) if n in cols else fold.index(n.lower()) for n in names]
+    return df.toDF(*[f"_c{i}" for i in range(len(cols))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
+
+
 def running_sum(
     df: DataFrame,
     value: Column,
@@ -101,7 +109,7 @@ def holding(df: DataFrame, key: str, latest: str | None = None, first: str | Non
     ordering column loses against any value.
     """
     cols = [F.col(f"`{c}`") for c in keep]
-    src = df.where(F.col(key).isNotNull())
+    src = only(df, *dict.fromkeys([key, latest or first, *keep])).where(F.col(key).isNotNull())
     if latest:
         one = F.max(F.struct(F.col(latest).alias("_o"), *cols))
     else:
