@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from klangsieb.operators.ordered import only
+
 LIMIT = 2048
 OVERLAP = 128
 #: A cut may move from its target by this part of the limit.
@@ -155,7 +157,7 @@ def cut_texts(documents: DataFrame, doc: str = "doc_id", text: str = "text", lim
                     rows, held = [], 0
             yield _rows(rows)
 
-    return documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, _PIECE)
+    return only(documents, doc, text).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, _PIECE)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from klangsieb.operators.ordered import holding, running_sum
+from klangsieb.operators.ordered import holding, only, running_sum
 
 #: Expected copies are held in units of 2**-24, so that their prefix sums are exact.
 UNIT_BITS = 24
@@ -50,6 +50,7 @@ def mix_to_shares(
     per-source totals (one row per target) are joined back.
     """
     size_of = F.when((F.col(size) > 0) & ~F.isnan(size), F.col(size)).otherwise(0.0)
+    items, targets = only(items, item, source, size), only(targets, "name", "target_share", "max_repeat")
     src = items.where(F.col(item).isNotNull() & F.col(source).isNotNull()).select(F.col(item).alias("item"), source_key(F.col(source)).alias("source"), size_of.cast("double").alias("size"))
     goal = targets.where(F.col("name").isNotNull()).groupBy("name").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeat", F.lit(0))).alias("max_repeat"))
     goal = goal.withColumn("source", source_key(F.col("name")))

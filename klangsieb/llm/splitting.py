@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from klangsieb.operators.ordered import only
 from klangsieb.session import settle
 
 #: Many equal bins; components differenced by one task; partial results that one task combines.
@@ -29,6 +30,7 @@ def components(records: DataFrame, item: str, keys: Sequence[str]) -> DataFrame:
     value is a component of its own. Components are named by their least
     (key number, value) pair; a null item keeps its row.
     """
+    records = only(records, *dict.fromkeys([item, *keys]))
     named = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:" if len(keys) > 1 else ""), F.col(k).cast("string"))) for i, k in enumerate(keys)]
     alone = F.concat(F.lit("#"), F.coalesce(F.col("item").cast("string"), F.lit("")))
     if len(keys) == 1:
