@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klangsieb.operators.ordered import only
+from klangsieb.session import bound_batches
 
 # The layouts of the three kinds of lines.
 LISTING_FIELDS = ("wav_filename", "transcript")
@@ -195,7 +196,7 @@ def load_lines(df: DataFrame, line_id: str = "line_id", kind: str = "file_kind",
     line grows with its length only (hops from quoted field to quoted field,
     all lines of a batch together).
     """
-    src = only(df, line_id, kind, line).select(F.col(line_id).cast("bigint").alias("line_id"), F.col(kind).cast("string").alias("file_kind"), F.col(line).cast("string").alias("line"))
+    src = only(bound_batches(df), line_id, kind, line).select(F.col(line_id).cast("bigint").alias("line_id"), F.col(kind).cast("string").alias("file_kind"), F.col(line).cast("string").alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

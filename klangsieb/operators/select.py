@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from klangsieb.functions.hashing import digest_mod, hash_order, word_fraction
+from klangsieb.functions.hashing import digest_mod, hash_order
 from klangsieb.operators.ordered import position, running_sum
 from klangsieb.session import settle
 
@@ -150,5 +150,3 @@ def first_reason(checks: list[tuple[str, Column]]) -> Column:
         out = F.when(bad, name).otherwise(out)
     return out
 
-
-__all__ = ["best_per_group", "first_reason", "passage_from", "pick_partner", "quota_cover", "round_robin_budget", "stratified_split", "strided_sample", "weighted_draws", "word_fraction"]

@@ -23,12 +23,34 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        _BATCH_SETTING: str(BATCH_BYTES),
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+#: Bytes that one Arrow batch on its way to Python may have.
+BATCH_BYTES = 32 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Make long texts come to Python in batches of bounded size.
+
+    By default only the rows of a batch are limited, so that ten thousand
+    texts of a megabyte would be one batch. A limit that the session has set
+    itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _UNBOUNDED:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+_UNBOUNDED = str(2**31 - 1)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: the session's own, or a temporary one if unset.
 

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from klangsieb.operators.malformed import Structure, accepted, blank, load_lines, parse_lines, rejects
 
@@ -116,3 +118,11 @@ def test_no_lines(spark):
 def test_very_long_lines(spark, line):
     got = _run(spark, [(1, "pipe", line), (2, "pipe", "a.wav|1|b|c|1")]).select("line_id", "reason").collect()
     assert sorted((r[0], r[1]) for r in got) == [(1, _reason("pipe", line)), (2, None)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from klangsieb.session import bound_batches
+
+    df = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 2_000_000).alias("t"))
+    size = bound_batches(df).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n bigint").collect()
+    assert sum(r["n"] for r in size) == 64 and max(r["n"] for r in size) <= 20
