@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klangsieb.operators.ordered import only
+from klangsieb.session import bound_batches
 
 LIMIT = 2048
 OVERLAP = 128
@@ -157,7 +158,7 @@ def cut_texts(documents: DataFrame, doc: str = "doc_id", text: str = "text", lim
                     rows, held = [], 0
             yield _rows(rows)
 
-    return only(documents, doc, text).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, _PIECE)
+    return only(bound_batches(documents), doc, text).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, _PIECE)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from klangsieb.functions.plain import plain_word_parts, plain_words
 from klangsieb.operators.ordered import only
+from klangsieb.session import bound_batches
 
 #: Consecutive words that make a leak, words of a block, bits of the shift table, words of a lane.
 RUN = 8
@@ -154,7 +155,7 @@ def leaks(documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text:
     gets is bounded; each pass reads ids and texts only, shuffles nothing but
     its hits, and searches whole texts however long.
     """
-    documents, passages = only(documents, doc, text), only(passages, item, passage)
+    documents, passages = only(bound_batches(documents), doc, text), only(passages, item, passage)
     wanted = passages.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(passage).cast("string").alias("text"), F.length(passage).cast("bigint").alias("n"))
     docs = documents.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     size = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from klangsieb.functions.edit import edit_distance
 from klangsieb.functions.plain import plain_words
 from klangsieb.operators.ordered import only
-from klangsieb.session import settle
+from klangsieb.session import bound_batches, settle
 
 #: Edits allowed, as a fraction of the words of the longer text: 1 / PART.
 PART = 5
@@ -125,7 +125,7 @@ def with_words(df: DataFrame, item: str, text: str) -> DataFrame:
             rows = [(i, w) for i, t in zip(*(b.column(k).to_pylist() for k in range(2))) if (w := plain_words(t))]
             yield pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "words": [w for _, w in rows], "n": [len(w) for _, w in rows]}, schema=_WORDS_ARROW)
 
-    return only(df, item, text).select(F.col(item).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _WORDS)
+    return only(bound_batches(df), item, text).select(F.col(item).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _WORDS)
 
 
 def _codes(texts: DataFrame, probing: bool, part: int) -> DataFrame:

@@ -14,7 +14,7 @@ from klangsieb.llm.leakage import leaks
 from klangsieb.llm.mixing import enabled_clips, mix_to_shares
 from klangsieb.llm.overlap import expand, near_same, with_words
 from klangsieb.llm.packing import CAPACITY, pack, utilisation
-from klangsieb.llm.splitting import balanced_splits, components, split_name, split_report
+from klangsieb.llm.splitting import ALONE, balanced_splits, components, split_name, split_report
 from klangsieb.llm.terms import mark_terms, term_counts
 from klangsieb.operators.ordered import holding
 
@@ -86,7 +86,7 @@ def _assigned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     report = _assigned(spark, folder)[1]
-    return report.where(F.col("n_present") > 1).where(~F.col("component").startswith("#")).select(F.col("component").alias("speaker"))
+    return report.where(F.col("n_present") > 1).where(~F.col("component").startswith(ALONE)).select(F.col("component").alias("speaker"))
 
 
 def p5_splits(spark: SparkSession, folder: str) -> DataFrame:

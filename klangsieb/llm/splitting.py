@@ -18,6 +18,8 @@ from klangsieb.session import settle
 BINS = 200
 CHUNK = 4096
 FAN_IN = 32
+#: What the names of components without any value begin with: a character that no key has.
+ALONE = "\x01"
 
 
 def components(records: DataFrame, item: str, keys: Sequence[str]) -> DataFrame:
@@ -27,12 +29,13 @@ def components(records: DataFrame, item: str, keys: Sequence[str]) -> DataFrame:
     on one record are linked, and the links are contracted to stars by
     alternating large and small stars over the distinct values, each round
     checkpointed; a hot value is only ever one node. A record without any
-    value is a component of its own. Components are named by their least
-    (key number, value) pair; a null item keeps its row.
+    value is a component of its own, its name beginning with ``ALONE``. Other
+    components are named by their least (key number, value) pair; a null item
+    keeps its row.
     """
     records = only(records, *dict.fromkeys([item, *keys]))
     named = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:" if len(keys) > 1 else ""), F.col(k).cast("string"))) for i, k in enumerate(keys)]
-    alone = F.concat(F.lit("#"), F.coalesce(F.col("item").cast("string"), F.lit("")))
+    alone = F.concat(F.lit(ALONE), F.coalesce(F.col("item").cast("string"), F.lit("")))
     if len(keys) == 1:
         return records.select(F.col(item).alias("item"), named[0].alias("_first")).select("item", F.coalesce("_first", alone).alias("component"))
     rows = records.select(F.col(item).alias("item"), F.array_compact(F.array(*named)).alias("_v"))
@@ -52,10 +55,12 @@ def star_contraction(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         edges = settle(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h")).first()
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if before == seen:
             break
         before = seen
+    else:
+        raise RuntimeError(f"links aren't contracted after {most_rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
 

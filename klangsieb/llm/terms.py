@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from klangsieb.functions.plain import plain_word_parts, plain_words
 from klangsieb.operators.ordered import only
-from klangsieb.session import settle
+from klangsieb.session import bound_batches, settle
 
 #: A container bursts beyond this many terms; a worker hands over its trie beyond the second number.
 BURST = 512
@@ -174,7 +174,7 @@ def term_counts(records: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     those prefixes, shuffled by prefix, and matching subtrees are merged.
     A term that occurs in all records is one entry per trie handed over.
     """
-    packed = settle(only(records, text).select(F.col(text).cast("string").alias("text")).mapInArrow(_count, _PACKED_SQL))
+    packed = settle(only(bound_batches(records), text).select(F.col(text).cast("string").alias("text")).mapInArrow(_count, _PACKED_SQL))
     total = packed.where("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_records"))
     boxes = packed.where("kind = 'box'")
     entries = boxes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

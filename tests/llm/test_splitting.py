@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from klangsieb.llm.splitting import allocate, balanced_splits, components, largest_differencing, split_report, star_contraction
+from klangsieb.llm.splitting import ALONE, allocate, balanced_splits, components, largest_differencing, split_report, star_contraction
 
 SHARES = {"train": 0.9, "val": 0.05, "test": 0.05}
 
@@ -68,7 +68,7 @@ def test_no_members(spark):
 def test_components_one_key(spark):
     df = spark.createDataFrame([("a", "s", 1), ("b", "s", 2), ("c", None, 3), (None, None, 4), ("a", "s", 1)], "idx string, speaker string, component int")
     got = sorted((r["item"] or "", r["component"]) for r in components(df, "idx", ["speaker"]).collect())
-    assert got == [("", "#"), ("a", "s"), ("a", "s"), ("b", "s"), ("c", "#c")]
+    assert got == [("", ALONE), ("a", "s"), ("a", "s"), ("b", "s"), ("c", f"{ALONE}c")]
 
 
 def test_components_several_keys(spark):
