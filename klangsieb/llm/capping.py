@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from klangsieb.operators.ordered import Down, only, position
+from klangsieb.session import settle
 
 
 def speaker_key(c: Column) -> Column:
@@ -60,7 +61,7 @@ def cap_contributors(
     all records is ranked by many tasks.
     """
     q = F.col(quality).cast("double")
-    rows = only(records, *dict.fromkeys([item, contributor, quality])).select(F.col(item).alias("item"), F.col(contributor).alias("contributor"), F.when(~F.isnan(q), q).alias("quality")).distinct()
+    rows = settle(only(records, *dict.fromkeys([item, contributor, quality])).select(F.col(item).alias("item"), F.col(contributor).alias("contributor"), F.when(~F.isnan(q), q).alias("quality")).distinct())
     owned = rows.where(F.col("contributor").isNotNull())
     counts = owned.groupBy("contributor").agg(F.count("*").alias("n"))
     level = water_level(counts, max_count, max_share)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from klangsieb.operators.ordered import holding, only, running_sum
+from klangsieb.session import settle
 
 #: Expected copies are held in units of 2**-24, so that their prefix sums are exact.
 UNIT_BITS = 24
@@ -23,6 +24,7 @@ def mix_to_shares(
     size: str = "dur_proc_s",
     seed: str = "mix",
     total: float | None = None,
+    fit: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Draw a mix in which each source of ``targets`` has its share of the total size.
 
@@ -40,7 +42,9 @@ def mix_to_shares(
     per source and seed is added, and an item is emitted once per whole number
     that its interval crosses: each item gets the whole number below or above
     its expectation, and the size drawn stays within about one item of the
-    expected one.
+    expected one. With ``fit`` the total is lowered, if need be, to the
+    greatest at which every source that has items reaches its share; without
+    it sources that are limited fall short and the others keep their size.
 
     Null, negative or NaN sizes count 0; items with a null id or source are
     left out; a source that isn't in ``targets`` isn't drawn from, repeated
@@ -51,7 +55,7 @@ def mix_to_shares(
     """
     size_of = F.when((F.col(size) > 0) & ~F.isnan(size), F.col(size)).otherwise(0.0)
     items, targets = only(items, item, source, size), only(targets, "name", "target_share", "max_repeat")
-    src = items.where(F.col(item).isNotNull() & F.col(source).isNotNull()).select(F.col(item).alias("item"), source_key(F.col(source)).alias("source"), size_of.cast("double").alias("size"))
+    src = settle(items.where(F.col(item).isNotNull() & F.col(source).isNotNull()).select(F.col(item).alias("item"), source_key(F.col(source)).alias("source"), size_of.cast("double").alias("size")))  # read for the totals, the sums and the draw
     goal = targets.where(F.col("name").isNotNull()).groupBy("name").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeat", F.lit(0))).alias("max_repeat"))
     goal = goal.withColumn("source", source_key(F.col("name")))
 
@@ -62,9 +66,12 @@ def mix_to_shares(
     plan = plan.select(
         "name", "source", "target_share", "max_repeat",
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce(F.col("d").cast("double"), F.lit(0.0)).alias("available"),
-        (F.col("target_share") * whole).alias("target_size"),
+        F.coalesce(F.col("d").cast("double"), F.lit(0.0)).alias("available"), whole.alias("whole"),
     )
+    if fit:
+        most = plan.where("available > 0 and target_share > 0").agg(F.min(F.col("max_repeat") * F.col("available") / F.col("target_share")).alias("most"))
+        plan = plan.crossJoin(F.broadcast(most)).withColumn("whole", F.least("whole", "most"))  # one row
+    plan = plan.withColumn("target_size", F.col("target_share") * F.col("whole")).drop("whole", "most")
     wish = F.when(F.col("available") > 0, F.least(F.col("max_repeat").cast("double"), F.col("target_size") / F.col("available"))).otherwise(F.col("max_repeat").cast("double"))
     plan = plan.withColumn("expect", F.floor(wish * float(1 << UNIT_BITS) + 0.5).cast("bigint"))
     offset = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(seed), "source")), 1, 6), 16, 10).cast("bigint")

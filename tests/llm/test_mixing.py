@@ -29,6 +29,13 @@ def test_shares_and_caps(spark):
     assert sum(r["reached_share"] for r in report.values()) == pytest.approx(1.0)
 
 
+def test_fitted_total(spark):
+    items = [(f"a{i}", "a", 1.0) for i in range(500)] + [(f"b{i}", "b", 1.0) for i in range(50)]
+    _, report = _mix(spark, items, [("a", 0.5, 1), ("b", 0.4, 2), ("none", 0.1, 2)], fit=True)
+    assert report["b"]["copies"] == 100 and abs(report["a"]["copies"] - 125) <= 1 and not report["b"]["limited"]
+    assert report["a"]["reached_share"] / report["b"]["reached_share"] == pytest.approx(1.25, abs=0.02) and report["none"]["limited"]
+
+
 def test_one_source_with_most_rows(spark):
     items = [(f"h{i:05d}", "hot", 1.0) for i in range(3000)] + [(f"s{i}", "small", 1.0) for i in range(10)]
     mix, report = _mix(spark, items, [("hot", 0.1, 1), ("small", 0.9, 5)])
