@@ -17,6 +17,7 @@ from klangsieb.llm.packing import CAPACITY, pack, utilisation
 from klangsieb.llm.splitting import ALONE, balanced_splits, components, split_name, split_report
 from klangsieb.llm.terms import mark_terms, term_counts
 from klangsieb.operators.ordered import holding
+from klangsieb.session import settle
 
 SPEAKER_CAP = 25
 SHARES = {"train": 0.90, "val": 0.05, "test": 0.05}
@@ -78,7 +79,7 @@ def p3_clips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    members = components(_speakers(spark, folder), "idx", ["speaker"])
+    members = settle(components(_speakers(spark, folder), "idx", ["speaker"]))  # read for the weights, the report and the result
     present = _read(spark, folder, "splits").select(F.col("idx").alias("item"), split_name(F.col("split")).alias("split")).where(F.col("split").isNotNull())
     assigned = balanced_splits(members, SHARES)
     return members, split_report(members, present, assigned)
