@@ -95,34 +95,41 @@ def passage_from(df: DataFrame, group: str, order: str, amount: Column, start: i
     return running_sum(placed, F.col("_a"), [F.col(order)], by=[group], out="before").where(F.col("before") < least).drop("_p", "_a")
 
 
-def quota_cover(index: DataFrame, quota: int, budget: float) -> DataFrame:
+def quota_cover(index: DataFrame, quota: int, budget: float, cap: int | None = None) -> DataFrame:
     """Greedy cover: words by priority take their clips in order until each has ``quota`` clips.
 
     ``index``: (word, priority, clip, clip_order, amount), a row per word of a
     clip. A clip taken counts for all its words; a clip is skipped once the
-    total amount would exceed ``budget``. Output: (clip, word, pick), word
-    being the one it was taken for.
+    total amount would exceed ``budget``. With ``cap``, ``index`` has a
+    ``speaker`` too: once ``cap`` clips of a speaker are taken, the others are
+    skipped, and the word goes on to its next clip. Output: (clip, word,
+    pick), word being the one it was taken for.
 
     The fold is sequential, but a word never reaches beyond its first
     ``quota`` clips: each of those is taken for it or was taken before, and
-    then counts. So only words x quota rows go to the one task, however many
-    clips there are. (A budget that runs out only ends the fold.)
+    then counts. With ``cap`` the same holds for its clips of one speaker, and
+    for the first ``cap`` of them: when they are taken the speaker is full. So
+    only words x quota rows (a speaker) go to the one task, however many clips
+    there are. (A budget that runs out only ends the fold.)
     """
-    ranked = best_per_group(index, ["word"], [F.col("clip_order"), F.col("clip")], quota)
+    by, most = (["word"], quota) if cap is None else (["word", "speaker"], min(quota, cap))
+    ranked = best_per_group(index.withColumn("speaker", F.lit(None).cast("string")) if cap is None else index, by, [F.col("clip_order"), F.col("clip")], most)
     clips = ranked.select("clip").distinct()
     needed = index.join(clips, "clip", "left_semi").groupBy("clip").agg(F.collect_set("word").alias("words"), F.max("amount").alias("amount"))
-    rows = ranked.join(needed.withColumnRenamed("amount", "_m"), "clip").select("word", "priority", "rank", "clip", "words", F.col("_m").alias("amount"))
+    rows = ranked.join(needed.withColumnRenamed("amount", "_m"), "clip").select("word", "priority", "clip_order", "clip", "speaker", "words", F.col("_m").alias("amount"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "word", "rank"], kind="stable")
+        pdf = pdf.sort_values(["priority", "word", "clip_order", "clip"], kind="stable")
         left: dict[str, int] = {}
+        of: dict[str | None, int] = {}
         taken: list[tuple[str, str, int]] = []
         seen: set[str] = set()
         spent = 0.0
-        for word, clip, words, amount in zip(pdf["word"], pdf["clip"], pdf["words"], pdf["amount"]):
-            if left.get(word, quota) <= 0 or clip in seen or spent + amount > budget:
+        for word, clip, speaker, words, amount in zip(pdf["word"], pdf["clip"], pdf["speaker"], pdf["words"], pdf["amount"]):
+            if left.get(word, quota) <= 0 or clip in seen or spent + amount > budget or (cap is not None and of.get(speaker, 0) >= cap):
                 continue
             seen.add(clip)
+            of[speaker] = of.get(speaker, 0) + 1
             spent += amount
             for w in words:
                 left[w] = left.get(w, quota) - 1

@@ -29,13 +29,13 @@ def online_admission(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("preselect_double_demand")
 def preselect_double_demand(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips for twice the demand of each rare word, of at most ten clips a speaker."""
-    some = sel.best_per_group(meta(spark, folder).where("dur > 0").select("idx", "speaker", "dur"), ["speaker"], [F.sha1("idx"), F.col("idx")], 10).drop("rank")
+    """Clips for twice the demand of each rare word, at most ten clips chosen a speaker."""
+    some = meta(spark, folder).where("dur > 0").select("idx", "speaker", "dur")
     t = _tokens(spark, folder)
     wanted = _rare(t).orderBy("clips", "word").limit(WORD_LIST)
     index = t.select(F.col("folded").alias("word"), "idx").distinct().join(wanted, "word").join(some, "idx")
-    rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), F.col("dur").alias("amount"))
-    return sel.quota_cover(rows, 6, 1e12)
+    rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), "speaker", F.col("dur").alias("amount"))
+    return sel.quota_cover(rows, 6, 1e12, cap=10)
 
 
 @query("path_prefix_rewrite", "select distinct target_wav, case when starts_with(target_wav, 'datasets/lesesaal_de/') then '/mnt/a/' || substr(target_wav, 22) when starts_with(target_wav, 'datasets/') then '/mnt/b/' || substr(target_wav, 10) else target_wav end as path from testset")

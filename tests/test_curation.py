@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -74,3 +75,26 @@ def test_settings_and_calls(spark, tmp_path):
     df = spark.createDataFrame([("ok",), ("bad",), ("down",)], "chunk string")
     got = {r["chunk"]: (r["status"], r["text"], r["reason"]) for r in remote.enrich(df, "chunk", call, lambda s: None).collect()}
     assert got == {"ok": ("ok", "OK", None), "bad": ("rejected", None, "status 403 refused"), "down": ("rejected", None, "status 0 no route")}
+
+
+def test_preselection_looks_at_all_clips_of_a_speaker(spark, data):
+    from klangsieb.plans import curation, words
+    from klangsieb.plans.selection import meta
+
+    seen = {(r["folded"], r["idx"]) for r in words._tokens(spark, data).select("folded", "idx").distinct().collect()}
+    rare = {r["word"]: r["clips"] for r in words._rare(words._tokens(spark, data)).collect()}
+    speaker = {r["idx"]: r["speaker"] for r in meta(spark, data).where("dur > 0").collect()}
+    taken, of, left = [], {}, dict.fromkeys(rare, 6)
+    of_clip: dict = {}
+    for w, c in seen:
+        if w in rare and c in speaker:
+            of_clip.setdefault(c, []).append(w)
+    order = lambda x: (rare[x[0]], x[0], hashlib.sha1(x[1].encode()).hexdigest(), x[1])
+    for w, c in sorted(((w, c) for c, ws in of_clip.items() for w in ws), key=order):
+        if left[w] > 0 and c not in taken and of.get(speaker[c], 0) < 10:
+            taken.append(c)
+            of[speaker[c]] = of.get(speaker[c], 0) + 1
+            for x in of_clip[c]:
+                left[x] -= 1
+    got = curation.preselect_double_demand(spark, data).orderBy("pick").collect()
+    assert [r["clip"] for r in got] == taken

@@ -90,6 +90,24 @@ def test_quota_cover_against_the_whole_fold(spark, seed):
     assert sum(clips[r["clip"]][1] for r in got) <= budget
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_cover_counts_the_cap_on_clips_taken(spark, seed):
+    rng = random.Random(seed)
+    clips = {f"c{i}": (sorted(rng.sample([f"w{k:02d}" for k in range(30)], rng.randint(1, 3))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)}
+    index = [(w, int(w[1:]) % 4, c, hashlib.sha1(c.encode()).hexdigest(), 1.0, s) for c, (ws, s) in clips.items() for w in ws]
+    quota, cap = rng.choice([(3, 5), (6, 4), (2, 20)])
+    got = select.quota_cover(spark.createDataFrame(index, "word string, priority int, clip string, clip_order string, amount double, speaker string"), quota, 1e12, cap).collect()
+    left, taken, of = {f"w{k:02d}": quota for k in range(30)}, [], {}
+    for w in sorted({i[0] for i in index}, key=lambda w: (int(w[1:]) % 4, w)):
+        for c, s in ((i[2], i[5]) for i in sorted((i for i in index if i[0] == w), key=lambda i: i[3])):
+            if left[w] > 0 and c not in taken and of.get(s, 0) < cap:
+                taken.append(c)
+                of[s] = of.get(s, 0) + 1
+                for x in clips[c][0]:
+                    left[x] -= 1
+    assert [r["clip"] for r in sorted(got, key=lambda r: r["pick"])] == taken
+
+
 def test_reasons_and_best(spark):
     df = spark.createDataFrame([(1, None), (5, 2), (None, 9)], "a int, b int")
     r = df.select(select.first_reason([("a", F.col("a") > 3), ("b", F.col("b") > 3)])).collect()
