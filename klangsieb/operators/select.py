@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +112,9 @@ def quota_cover(index: DataFrame, quota: int, budget: float, cap: int | None = N
     then counts. With ``cap`` the same holds for its clips of one speaker, and
     for the first ``cap`` of them: when they are taken the speaker is full. So
     only words x quota rows (a speaker) go to the one task, however many clips
-    there are. (A budget that runs out only ends the fold.)
+    there are. It sorts them on disk where they don't fit, reads them in
+    batches and holds only counters of words and speakers and the names of
+    the clips taken. (A budget that runs out only ends the fold.)
     """
     by, most = (["word"], quota) if cap is None else (["word", "speaker"], min(quota, cap))
     ranked = best_per_group(index.withColumn("speaker", F.lit(None).cast("string")) if cap is None else index, by, [F.col("clip_order"), F.col("clip")], most)
@@ -118,25 +122,25 @@ def quota_cover(index: DataFrame, quota: int, budget: float, cap: int | None = N
     needed = index.join(clips, "clip", "left_semi").groupBy("clip").agg(F.collect_set("word").alias("words"), F.max("amount").alias("amount"))
     rows = ranked.join(needed.withColumnRenamed("amount", "_m"), "clip").select("word", "priority", "clip_order", "clip", "speaker", "words", F.col("_m").alias("amount"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "word", "clip_order", "clip"], kind="stable")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: dict[str, int] = {}
         of: dict[str | None, int] = {}
-        taken: list[tuple[str, str, int]] = []
         seen: set[str] = set()
         spent = 0.0
-        for word, clip, speaker, words, amount in zip(pdf["word"], pdf["clip"], pdf["speaker"], pdf["words"], pdf["amount"]):
-            if left.get(word, quota) <= 0 or clip in seen or spent + amount > budget or (cap is not None and of.get(speaker, 0) >= cap):
-                continue
-            seen.add(clip)
-            of[speaker] = of.get(speaker, 0) + 1
-            spent += amount
-            for w in words:
-                left[w] = left.get(w, quota) - 1
-            taken.append((clip, word, len(taken) + 1))
-        return pd.DataFrame(taken, columns=["clip", "word", "pick"])
-
-    return rows.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fold, "clip string, word string, pick int")
+        for pdf in batches:
+            taken: list[tuple[str, str, int]] = []
+            for word, clip, speaker, words, amount in zip(pdf["word"], pdf["clip"], pdf["speaker"], pdf["words"], pdf["amount"]):
+                if left.get(word, quota) <= 0 or clip in seen or spent + amount > budget or (cap is not None and of.get(speaker, 0) >= cap):
+                    continue
+                seen.add(clip)
+                spent += amount
+                of[speaker] = of.get(speaker, 0) + 1
+                for w in words:
+                    left[w] = left.get(w, quota) - 1
+                taken.append((clip, word, len(seen)))
+            yield pd.DataFrame(taken, columns=["clip", "word", "pick"])
+
+    return rows.repartition(1).sortWithinPartitions("priority", "word", "clip_order", "clip").drop("priority", "clip_order").mapInPandas(fold, "clip string, word string, pick int")
 
 
 def admit(df: DataFrame, key: str, order: Column, speaker: str, cap: int, amount: Column, budget: int) -> DataFrame:

@@ -13,7 +13,7 @@ from klangsieb.operators import vectors
 from klangsieb.operators.ordered import position
 from klangsieb.plans.catalog import query, table
 from klangsieb.plans.selection import META, meta
-from klangsieb.plans.words import _TOKENS, WORD_LIST, _rare, _tokens
+from klangsieb.plans.words import _TOKENS, _rare, _tokens
 
 
 @query(
@@ -32,8 +32,7 @@ def preselect_double_demand(spark: SparkSession, folder: str) -> DataFrame:
     """Clips for twice the demand of each rare word, at most ten clips chosen a speaker."""
     some = meta(spark, folder).where("dur > 0").select("idx", "speaker", "dur")
     t = _tokens(spark, folder)
-    wanted = _rare(t).orderBy("clips", "word").limit(WORD_LIST)
-    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(wanted, "word").join(some, "idx")
+    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(_rare(t), "word").join(some, "idx")
     rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), "speaker", F.col("dur").alias("amount"))
     return sel.quota_cover(rows, 6, 1e12, cap=10)
 

@@ -98,3 +98,22 @@ def test_preselection_looks_at_all_clips_of_a_speaker(spark, data):
                 left[x] -= 1
     got = curation.preselect_double_demand(spark, data).orderBy("pick").collect()
     assert [r["clip"] for r in got] == taken
+
+
+def _many_words(spark, data, folder, clips: int = 1050, each: int = 20) -> str:
+    """Clips of ``each`` words that occur nowhere else, of a speaker each."""
+    word = lambda n: "wort" + "".join(chr(97 + n // 26**k % 26) for k in (3, 2, 1, 0))
+    rows = [(f"c{i:05d}", " ".join(word(i * each + k) for k in range(each))) for i in range(clips)]
+    own = spark.createDataFrame(rows, "idx string, text string")
+    for name, given in (("texts", {"line_no": F.lit(1)}), ("dataset_meta", {"speaker": F.col("idx"), "dur_proc_s": F.lit(1.0), "written_at": F.current_timestamp()})):
+        schema = spark.read.parquet(f"{data}/{name}.parquet").schema
+        full = own.withColumns(given)
+        full.select(*[(F.col(f.name) if f.name in full.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_preselection_asks_for_every_rare_word(spark, data, tmp_path):
+    from klangsieb.plans import curation
+
+    got = curation.preselect_double_demand(spark, _many_words(spark, data, tmp_path)).collect()
+    assert len({r["clip"] for r in got}) == 1050
