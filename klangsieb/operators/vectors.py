@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from klangsieb.functions.arrays import cosine
-from klangsieb.session import settle
 
-#: Query vectors held by a task at once; members of a group clustered at once.
+#: Query vectors held by a task at once; members of a group up to which all similarities are held at once.
 BLOCK = 4096
 CLUSTER_CHUNK = 1500
 
@@ -151,44 +150,71 @@ def linkage_labels(vectors: np.ndarray, sizes: np.ndarray, cut: float) -> np.nda
     return label
 
 
+def chain_labels(vectors: np.ndarray, sizes: np.ndarray, cut: float) -> np.ndarray:
+    """The same clusters as ``linkage_labels``, but for ties, without a matrix of similarities: nearest-neighbour chains.
+
+    A chain goes on to the nearest neighbour until two clusters are each
+    other's nearest; these are merged. With average linkage a merged cluster
+    is never nearer to a third one than the nearer of its parts, so each such
+    merge is one that the step-by-step linkage makes too, and a cluster that
+    has nothing within ``cut`` is final. Memory grows with the number of
+    vectors, time with its square.
+    """
+    up, ids = np.arange(len(vectors)), np.arange(len(vectors))
+    mean, size, alive = vectors.astype(float).copy(), sizes.astype(float).copy(), np.ones(len(vectors), bool)
+    chain: list[int] = []
+    links: list[float] = []
+    while True:
+        if not chain:
+            live = np.flatnonzero(alive)
+            if len(live) < 2:
+                break
+            if 2 * len(live) < len(alive):
+                ids, mean, size, alive = ids[live], mean[live], size[live], np.ones(len(live), bool)
+                live = np.arange(len(ids))
+            chain, links = [int(live[0])], [-np.inf]
+        a = chain[-1]
+        sim = mean @ mean[a]
+        sim[~alive] = sim[a] = -np.inf
+        b = int(sim.argmax())
+        if len(chain) > 1 and (b == chain[-2] or sim[b] <= links[-1]):  # the last digit may differ between the two sides
+            low, high = sorted(chain[-2:])
+            del chain[-2:], links[-2:]
+            mean[low] = (mean[low] * size[low] + mean[high] * size[high]) / (size[low] + size[high])
+            size[low] += size[high]
+            alive[high] = False
+            up[ids[high]] = ids[low]
+        elif 1.0 - sim[b] > cut:
+            alive[a] = False
+            chain, links = [], []
+        else:
+            chain.append(b)
+            links.append(sim[b])
+    for i, x in enumerate(up):  # always to a lower place
+        up[i] = up[x]
+    return up
+
+
 def agglomerate(df: DataFrame, group: str, item: str, vector: str, cut: float = 0.45, chunk: int = CLUSTER_CHUNK) -> DataFrame:
     """(group, item, cluster): average-linkage clusters inside each group.
 
-    A group of up to ``chunk`` members is clustered as a whole. A larger one
-    is hashed to chunks of that size; their clusters, as means with sizes, are
-    clustered again in the same way, level by level, until a group's clusters
-    fit into one chunk or no longer get fewer. No task holds more than about
-    one chunk. Clusters are named by their least item; null vectors are left
-    out.
+    Each group is clustered as a whole by one task: up to ``chunk`` members
+    with all similarities at hand, a larger one by nearest-neighbour chains,
+    which give the same clusters. Clusters are named by their least item; null
+    vectors are left out.
     """
     rows = df.where(F.col(item).isNotNull() & F.col(vector).isNotNull())
-    rows = rows.select(F.col(group).alias("grp"), F.col(item).cast("bigint").alias("part"), _unit(F.col(vector).cast("array<double>")).alias("mean"), F.lit(1).cast("bigint").alias("n"))
+    rows = rows.select(F.col(group).alias("grp"), F.col(item).cast("bigint").alias("part"), _unit(F.col(vector).cast("array<double>")).alias("mean"))
     kind = dict(rows.dtypes)["grp"]
 
     def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", kind="stable").reset_index(drop=True)
-        v, n, parts = np.stack(pdf["mean"].to_list()), pdf["n"].to_numpy(), pdf["part"].to_numpy()
-        label = linkage_labels(v, n, cut)
-        weight = {k: n[label == k].sum() for k in np.unique(label)}
-        mean = {k: (v[label == k] * n[label == k, None]).sum(axis=0) / weight[k] for k in weight}
-        return pd.DataFrame({"grp": pdf["grp"], "part": parts, "up": parts[label], "mean": [mean[k] for k in label], "n": [weight[k] for k in label]})
-
-    heads, moved, before = rows, None, None
-    for level in range(32):
-        sizes = heads.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("_n"))
-        chunks = heads.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).withColumn("chunk", F.pmod(F.xxhash64("part", F.lit(level)), F.ceil(F.col("_n") / chunk)))
-        joined = settle(chunks.groupBy("grp", "chunk").applyInPandas(join_parts, f"grp {kind}, part bigint, up bigint, mean array<double>, n bigint"))
-        step = joined.select(F.col("grp").alias("_g"), F.col("part").alias("_p"), F.col("up").alias("_u"))
-        if moved is None:
-            moved = step.select(F.col("_g").alias("grp"), F.col("_p").alias("item"), F.col("_u").alias("cluster"))
-        else:
-            moved = moved.join(step, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("cluster") == F.col("_p"))).select("grp", "item", F.col("_u").alias("cluster"))
-        heads = joined.where("part = up").select("grp", "part", "mean", "n")
-        most, total = joined.groupBy("grp").agg(F.count("*").alias("c")).agg(F.max("c"), F.sum("c")).first()
-        if most is None or most <= chunk or total == before:
-            break
-        before = total
-    return moved.select(F.col("grp").alias(group), F.col("item").alias(item), "cluster")
+        parts = pdf["part"].to_numpy()
+        label = (linkage_labels if len(pdf) <= chunk else chain_labels)(np.stack(pdf["mean"].to_list()), np.ones(len(pdf)), cut)
+        return pd.DataFrame({"grp": pdf["grp"], "item": parts, "cluster": parts[label]})
+
+    out = rows.groupBy("grp").applyInPandas(join_parts, f"grp {kind}, item bigint, cluster bigint")
+    return out.select(F.col("grp").alias(group), F.col("item").alias(item), "cluster")
 
 
 def _unit(v: Column) -> Column:

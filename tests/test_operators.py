@@ -210,6 +210,35 @@ def test_clusters(spark):
         assert len({got[i] for i in range(160)}) == 4 and all(len({got[i] for i in range(k, k + 40)}) == 1 for k in range(0, 160, 40)) and got[500] == 500
 
 
+def test_large_groups_have_the_clusters_of_the_whole_linkage(spark):
+    n, cut = 120, 0.8
+    f = _unit(np.random.default_rng(5), n, 24)
+    df = spark.createDataFrame([(i, 1, f[i].tolist()) for i in range(n)] + [(500, None, f[0].tolist())], "i long, g int, v array<float>")
+    v = f.astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    total, size, name = v @ v.T, np.ones(n), np.arange(n)
+    while True:
+        mean = np.where(np.outer(size, size) > 0, total / np.maximum(np.outer(size, size), 1), -np.inf)
+        np.fill_diagonal(mean, -np.inf)
+        a, b = sorted(np.unravel_index(mean.argmax(), mean.shape))
+        if 1.0 - mean[a, b] > cut:
+            break
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        size[a], size[b] = size[a] + size[b], 0
+        name[name == b] = a
+    want = dict(enumerate(name)) | {500: 500}
+    assert 5 < len(set(name)) < 60
+    for chunk in (1000, 50):
+        assert {r["i"]: r["cluster"] for r in vectors.agglomerate(df, "g", "i", "v", cut, chunk).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_have_the_clusters_of_the_matrix(seed):
+    v, cut = _unit(np.random.default_rng(seed), 500, 32).astype(float), (0.9, 0.7)[seed % 2]
+    assert (vectors.chain_labels(v, np.ones(500), cut) == vectors.linkage_labels(v, np.ones(500), cut)).all()
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(45)] + [("a", 99, None), ("a", 98, float("nan")), ("b", 1, 7.0)], "g string, k int, v double")
     got = {r["g"]: tuple(r)[1:] for r in metrics.index_percentiles(df, ["g"], "v", "k").collect()}
