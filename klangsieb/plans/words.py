@@ -15,8 +15,6 @@ from klangsieb.plans.selection import META, meta
 
 # A word is rare up to so many clips; clips of rare words count up to so much more.
 RARE, TARGET, MOST = 5, 12.0, 8.0
-# Words that the cover is asked for, at most; the cover's one task holds three clips of each.
-WORD_LIST = 20_000
 
 FOLD = "lower(replace(replace(w, 'ẞ', 'ss'), 'ß', 'ss'))"
 HELD = "(select idx, arg_min({'t': text}, line_no).t as text from texts group by idx)"
@@ -196,8 +194,7 @@ def number_words(spark: SparkSession, folder: str) -> DataFrame:
 def greedy_quota_cover(spark: SparkSession, folder: str) -> DataFrame:
     """Clips for the rare words: rarest words first, three clips each, ten hours in all."""
     t = _tokens(spark, folder)
-    wanted = _rare(t).orderBy("clips", "word").limit(WORD_LIST)
-    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(wanted, "word").join(meta(spark, folder).select("idx", "dur").where("dur > 0"), "idx")
+    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(_rare(t), "word").join(meta(spark, folder).select("idx", "dur").where("dur > 0"), "idx")
     rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), F.col("dur").alias("amount"))
     return sel.quota_cover(rows, 3, 36_000.0)
 

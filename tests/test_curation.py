@@ -117,3 +117,10 @@ def test_preselection_asks_for_every_rare_word(spark, data, tmp_path):
 
     got = curation.preselect_double_demand(spark, _many_words(spark, data, tmp_path)).collect()
     assert len({r["clip"] for r in got}) == 1050
+
+
+def test_cover_asks_for_every_rare_word(spark, data, tmp_path):
+    from klangsieb.plans import words
+
+    got = words.greedy_quota_cover(spark, _many_words(spark, data, tmp_path)).collect()
+    assert len({r["clip"] for r in got}) == 1050
