@@ -126,9 +126,9 @@ TOKENIZERS = "/opt/tokenizers"
 
 @query("subword_counts")
 def subword_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Tokens of a public tokenizer, and characters a token, by kind of document; no rows where its file isn't there."""
+    """Tokens of a public tokenizer, and characters a token, by kind of document; an error where its file isn't there."""
     path = os.path.join(tokenizers, "byte_bpe_50k.json")
     if not os.path.exists(path):
-        return spark.createDataFrame([], "doc_kind string, tokens bigint, characters_a_token double")
+        raise FileNotFoundError(f"no tokenizer at {path}")
     d = table(spark, folder, "documents").select("doc_kind", "n_chars", F.size(text.subword_tokens(F.col("text"), path)).alias("n")).where("n > 0")
     return d.groupBy("doc_kind").agg(F.sum("n").alias("tokens"), F.round(F.sum("n_chars") / F.sum("n"), 4).alias("characters_a_token"))

@@ -124,3 +124,11 @@ def test_cover_asks_for_every_rare_word(spark, data, tmp_path):
 
     got = words.greedy_quota_cover(spark, _many_words(spark, data, tmp_path)).collect()
     assert len({r["clip"] for r in got}) == 1050
+
+
+def test_subword_counts_without_a_tokenizer(spark, data, tmp_path):
+    from klangsieb.plans import curation
+
+    with pytest.raises(FileNotFoundError, match="byte_bpe_50k"):
+        curation.subword_counts(spark, data, str(tmp_path))
+    assert curation.subword_counts(spark, data).count() > 0
