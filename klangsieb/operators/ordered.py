@@ -101,17 +101,43 @@ def stretches(df: DataFrame, by: Sequence[str], order: Sequence[Column | Down],
     return both.withColumn("_own", F.col("_stretch") == at)
 
 
+#: Types that an aggregate by hash can hold, and those of them that order rows as whole numbers.
+_FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+_WHOLE = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "date": "date", "timestamp": "timestamp"}
+
+
+def _rank(order: str, kind: str, keep: Sequence[str], lowest: bool) -> Column:
+    """A decimal that orders rows by ``order``, then by a hash of the kept values; rows without ``order`` come last."""
+    at = F.col(f"`{order}`")
+    number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(_WHOLE[kind], lambda c: c)(at).cast("decimal(20,0)")
+    wide = F.lit(str(1 << 63)).cast("decimal(19,0)")
+    values = [F.col(f"`{c}`") for c in keep]
+    tie = F.xxhash64(*[v.isNull() for v in values], *values).bitwiseAND(F.lit((1 << 63) - 1))
+    beyond = F.lit(str(1 << 63 if lowest else -(1 << 63) - 1)).cast("decimal(20,0)")
+    return (F.coalesce(number, beyond).cast("decimal(19,0)") * wide + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def holding(df: DataFrame, key: str, latest: str | None = None, first: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per non-null ``key``: that with the greatest ``latest`` or the least ``first``.
 
-    An aggregate of structs, so copies of a hot key are folded before the
-    shuffle. Ties fall to the greatest (least) remaining values; a null in the
-    ordering column loses against any value.
+    Copies of a hot key are folded before the shuffle. Values of fixed width
+    are folded by hash, without a sort: name in ``keep`` only what is needed,
+    as a single text column makes it a sorted fold of structs. Rows with equal
+    ordering values give one of them as a whole, always the same one; a null in
+    the ordering column loses against any value.
     """
+    by = latest or first
+    src = only(df, *dict.fromkeys([key, by, *keep])).where(F.col(key).isNotNull())
+    kinds = dict(src.dtypes)
+    if not keep:
+        return src.select(key).distinct()
+    if kinds[by] in _WHOLE and all(kinds[c] in _FIXED for c in keep):
+        ranked = src.withColumn("_rank", _rank(by, kinds[by], keep, lowest=not latest))
+        pick = F.max_by if latest else F.min_by
+        return ranked.groupBy(F.col(key)).agg(*[pick(F.col(f"`{c}`"), "_rank").alias(c) for c in keep])
     cols = [F.col(f"`{c}`") for c in keep]
-    src = only(df, *dict.fromkeys([key, latest or first, *keep])).where(F.col(key).isNotNull())
     if latest:
-        one = F.max(F.struct(F.col(latest).alias("_o"), *cols))
+        one = F.max(F.struct(F.col(by).alias("_o"), *cols))
     else:
-        one = F.min(F.struct(F.col(first).isNull().alias("_n"), F.col(first).alias("_o"), *cols))
+        one = F.min(F.struct(F.col(by).isNull().alias("_n"), F.col(by).alias("_o"), *cols))
     return src.groupBy(F.col(key)).agg(one.alias("_h")).select(key, *[F.col(f"_h.`{c}`").alias(c) for c in keep])

@@ -23,14 +23,14 @@ from klangsieb.plans.words import _TOKENS, _rare, _tokens
 )
 def online_admission(spark: SparkSession, folder: str) -> DataFrame:
     """Clips as they come, at most three a speaker, until there is a quarter of an hour."""
-    rows = meta(spark, folder).where("dur is not null").select("idx", "speaker", F.round(F.col("dur") * 1000).cast("bigint").alias("ms"))
+    rows = meta(spark, folder, "speaker", "dur").where("dur is not null").select("idx", "speaker", F.round(F.col("dur") * 1000).cast("bigint").alias("ms"))
     return sel.admit(rows, "idx", F.sha1(F.concat(F.lit("admit:"), F.col("idx"))), "speaker", 3, F.col("ms"), 900_000).select("idx", "speaker", "ms")
 
 
 @query("preselect_double_demand")
 def preselect_double_demand(spark: SparkSession, folder: str) -> DataFrame:
     """Clips for twice the demand of each rare word, at most ten clips chosen a speaker."""
-    some = meta(spark, folder).where("dur > 0").select("idx", "speaker", "dur")
+    some = meta(spark, folder, "speaker", "dur").where("dur > 0")
     t = _tokens(spark, folder)
     index = t.select(F.col("folded").alias("word"), "idx").distinct().join(_rare(t), "word").join(some, "idx")
     rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), "speaker", F.col("dur").alias("amount"))
@@ -83,7 +83,7 @@ def lexicon_zipf(spark: SparkSession, folder: str) -> DataFrame:
 @query("every_tenth", f"select idx from (select idx, row_number() over (order by idx) as r from {META}) where (r - 1) % 10 = 0")
 def every_tenth(spark: SparkSession, folder: str) -> DataFrame:
     """Every tenth clip in the order of names (a sample is the feature)."""
-    return position(meta(spark, folder).select("idx"), [F.col("idx")]).where((F.col("rank") - 1) % 10 == 0).select("idx")
+    return position(meta(spark, folder), [F.col("idx")]).where((F.col("rank") - 1) % 10 == 0).select("idx")
 
 
 @query("nested_distinct_counts", "select p_brand, count(distinct p_type) as kinds, list_sort(list(distinct p_size)) as sizes from part group by 1")
@@ -103,7 +103,7 @@ def label_grammar(spark: SparkSession, folder: str) -> DataFrame:
     chars = F.filter(F.split("speaker", ""), lambda c: c != "")
     ids = F.transform(chars, lambda c: F.when(c == "-", 8).when(c.rlike("[0-9]"), 7).otherwise(1))
     flags = F.array(F.lit(False), F.lit(True))
-    return meta(spark, folder).where("speaker is not null").select("idx", arrays.block_labels(ids, F.lit(7), F.lit(8), flags).alias("labels"))
+    return meta(spark, folder, "speaker").where("speaker is not null").select("idx", arrays.block_labels(ids, F.lit(7), F.lit(8), flags).alias("labels"))
 
 
 @query("normalized_numbers")

@@ -24,7 +24,7 @@ def speaker_map(spark: SparkSession, folder: str) -> DataFrame:
 )
 def speaker_lookup_default(spark: SparkSession, folder: str) -> DataFrame:
     default = F.when(F.lower(F.trim("corpus")).endswith("_en"), "reader_en").otherwise("reader")
-    rows = meta(spark, folder).select("idx", "corpus").join(speaker_map(spark, folder), "idx", "left")
+    rows = meta(spark, folder, "corpus").join(speaker_map(spark, folder), "idx", "left")
     return rows.select("idx", F.coalesce("speaker", default).alias("speaker"))
 
 
@@ -38,12 +38,12 @@ def resume_anti_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("split_semi_join", f"select idx, text from {META} where idx in (select idx from splits where lower(trim(split)) = 'val')")
 def split_semi_join(spark: SparkSession, folder: str) -> DataFrame:
     val = table(spark, folder, "splits").where(F.lower(F.trim("split")) == "val").select("idx")
-    return meta(spark, folder).select("idx", "text").join(val, "idx", "left_semi")
+    return meta(spark, folder, "text").join(val, "idx", "left_semi")
 
 
 @query("override_merge", f"select m.idx, coalesce(case when trim(s.speaker) <> '' then s.speaker end, m.speaker) as speaker from {META} m left join {_SPEAKER} s using (idx)")
 def override_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return merge.override(meta(spark, folder).select("idx", "speaker"), speaker_map(spark, folder), "idx", "speaker")
+    return merge.override(meta(spark, folder, "speaker"), speaker_map(spark, folder), "idx", "speaker")
 
 
 @query(
@@ -54,7 +54,7 @@ def override_merge(spark: SparkSession, folder: str) -> DataFrame:
 )
 def reference_fallback_chain(spark: SparkSession, folder: str) -> DataFrame:
     """The reference of an item: the one named, if known; else the first clip of its speaker; else itself."""
-    m = meta(spark, folder).select("idx", "speaker")
+    m = meta(spark, folder, "speaker")
     t = table(spark, folder, "testset").select("id", "ref_idx").distinct().withColumn("idx", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3))))
     pool = m.where("speaker is not null").groupBy("speaker").agg(F.min("idx").alias("least"))
     named = m.select(F.col("idx").alias("named"))

@@ -20,7 +20,7 @@ _EDITED = f"(select idx, corpus, levenshtein(array_to_string(list_transform(rw,
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Reference (the listed text) and hypothesis (the processed text) of each clip, normalized."""
-    h = meta(spark, folder).select("idx", F.lower(F.trim("corpus")).alias("corpus"), F.col("text").alias("h"))
+    h = meta(spark, folder, "corpus", "text").select("idx", F.lower(F.trim("corpus")).alias("corpus"), F.col("text").alias("h"))
     p = held_texts(spark, folder).join(h, "idx").where("text is not null and h is not null")
     return p.select("idx", "corpus", text.eval_form(text.nfc(F.col("text"))).alias("r"), text.eval_form(text.nfc(F.col("h"))).alias("h"))
 
@@ -151,7 +151,7 @@ def variant_corpus_pivot(spark: SparkSession, folder: str) -> DataFrame:
 @query("global_summary", f"select count(*) as clips, round(sum(dur::decimal(18,6))::double / 3600, 4) as hours, round(avg(dur::decimal(18,6))::double, 6) as mean, max(dur) as longest, count(*) filter (dur is null) as without from {META}")
 def global_summary(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("dur").cast("decimal(18,6)")
-    return meta(spark, folder).agg(
+    return meta(spark, folder, "dur").agg(
         F.count("*").alias("clips"), F.round(F.sum(d).cast("double") / 3600, 4).alias("hours"), F.round(F.sum(d).cast("double") / F.count("dur"), 6).alias("mean"), F.max("dur").alias("longest"), F.count_if(F.col("dur").isNull()).alias("without")
     )
 

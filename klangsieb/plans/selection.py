@@ -20,14 +20,14 @@ META = "(select idx, h.* from (select idx, arg_max({'corpus': corpus, 'speaker':
 CLEAN = "trim(regexp_replace(regexp_replace(replace(replace(replace(text, '…', '...'), '–', '-'), '—', '-'), '[^A-Za-zÀ-ÿ0-9 .,!?''’\\-:;()\"]+', ' ', 'g'), '\\s+', ' ', 'g'), ' -')"
 
 
-def meta(spark: SparkSession, folder: str) -> DataFrame:
-    """Holding clips: (idx, corpus, speaker, text, dur, frames, wav_rel)."""
+def meta(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    """Holding clips: idx and what is asked for of (corpus, speaker, text, dur, frames, wav_rel)."""
     m = table(spark, folder, "dataset_meta").withColumnRenamed("dur_proc_s", "dur")
-    return holding(m, "idx", latest="written_at", keep=["corpus", "speaker", "text", "dur", "frames", "wav_rel"])
+    return holding(m, "idx", latest="written_at", keep=keep)
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    m = meta(spark, folder).where(F.col("dur").between(*SECONDS)).withColumn("clean", text.clean(F.col("text")))
+    m = meta(spark, folder, "corpus", "text", "dur").where(F.col("dur").between(*SECONDS)).withColumn("clean", text.clean(F.col("text")))
     return m.where(text.density(F.col("clean"), F.col("dur")).between(*CHARS_A_SECOND))
 
 
@@ -65,7 +65,7 @@ def reject_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
     reason = sel.first_reason(
         [("decode", dur.isNull()), ("snr", snr.isNull() | F.isnan(snr) | (snr < LEAST_SNR)), ("hum", F.col("brumm") > MOST_HUM), ("band", F.col("kante") < LEAST_EDGE), ("short", dur < SECONDS[0]), ("long", dur > SECONDS[1])]
     )
-    rows = meta(spark, folder).join(q, "idx", "left").withColumn("reason", F.coalesce(reason, F.lit("kept")))
+    rows = meta(spark, folder, "dur").join(q, "idx", "left").withColumn("reason", F.coalesce(reason, F.lit("kept")))
     return rows.groupBy("reason").agg(F.count("*").alias("n"), F.round(F.sum(dur.cast("decimal(18,6)")).cast("double") / 3600, 6).alias("hours"))
 
 
@@ -75,7 +75,7 @@ def reject_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
       round(100.0::double * count(*) / sum(count(*)) over (), 4) as percent from {META} group by 1""",
 )
 def group_hours_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = meta(spark, folder).groupBy(F.lower(F.trim("corpus")).alias("corpus"))
+    rows = meta(spark, folder, "corpus", "speaker", "dur").groupBy(F.lower(F.trim("corpus")).alias("corpus"))
     out = rows.agg(F.count("*").alias("clips"), F.countDistinct("speaker").alias("speakers"), F.round(F.coalesce(F.sum(F.col("dur").cast("decimal(18,6)")), F.lit(0)).cast("double") / 3600, 4).alias("hours"))
     total = out.agg(F.sum("clips").alias("_t"))
     return out.crossJoin(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col("clips") / F.col("_t"), 4)).drop("_t")
@@ -87,7 +87,7 @@ def group_hours_summary(spark: SparkSession, folder: str) -> DataFrame:
       from (select idx, lower(trim(corpus)) as corpus, row_number() over (partition by lower(trim(corpus)) order by sha1(idx), idx) - 1 as p, count(*) over (partition by lower(trim(corpus))) as n from {META})""",
 )
 def stratified_split_90_5_5(spark: SparkSession, folder: str) -> DataFrame:
-    rows = meta(spark, folder).select("idx", F.lower(F.trim("corpus")).alias("corpus"))
+    rows = meta(spark, folder, "corpus").select("idx", F.lower(F.trim("corpus")).alias("corpus"))
     return sel.stratified_split(rows, "corpus", "idx").select("idx", "corpus", "split")
 
 
@@ -98,7 +98,7 @@ def stratified_split_90_5_5(spark: SparkSession, folder: str) -> DataFrame:
       where p % step = 0 and p / step < k""",
 )
 def stratified_strided_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = meta(spark, folder).select("idx", F.lower(F.trim("corpus")).alias("corpus"))
+    rows = meta(spark, folder, "corpus").select("idx", F.lower(F.trim("corpus")).alias("corpus"))
     return sel.strided_sample(rows, "corpus", "idx", 96).select("idx", "corpus")
 
 
@@ -110,7 +110,7 @@ def stratified_strided_sample(spark: SparkSession, folder: str) -> DataFrame:
 )
 def capped_topn_per_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Per corpus 20 clips in hash order, at most two a speaker, only of speakers with another clip."""
-    rows = meta(spark, folder).where("speaker is not null and corpus is not null").select("idx", F.lower(F.trim("corpus")).alias("corpus"), "speaker")
+    rows = meta(spark, folder, "corpus", "speaker").where("speaker is not null and corpus is not null").select("idx", F.lower(F.trim("corpus")).alias("corpus"), "speaker")
     many = rows.groupBy("corpus", "speaker").agg(F.count("*").alias("n")).where("n > 1")
     order = [F.sha1("idx"), F.col("idx")]
     two = sel.best_per_group(rows.join(many, ["corpus", "speaker"], "left_semi"), ["corpus", "speaker"], order, 2)
@@ -142,7 +142,7 @@ _MOD = "list_reduce(list_prepend(0::bigint, list_transform(string_split(sha1('re
       select j.idx, j.speaker, coalesce(o.idx, j.idx) as partner from j left join t o on o.speaker = j.speaker and o.p = j.j + case when j.j + 1 >= j.p then 2 else 1 end""",
 )
 def hash_mod_pick_ref(spark: SparkSession, folder: str) -> DataFrame:
-    rows = meta(spark, folder).where("speaker is not null").select("idx", "speaker")
+    rows = meta(spark, folder, "speaker").where("speaker is not null")
     return sel.pick_partner(rows, "speaker", "idx").select("idx", "speaker", "partner")
 
 
@@ -153,18 +153,18 @@ def job_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("seed_arithmetic_pool", f"select idx, ((frames * 7 + list_sum(list_transform(string_split(idx, ''), lambda c: ascii(c)))::bigint) % 10000 % 12)::bigint as place from {META}")
 def seed_arithmetic_pool(spark: SparkSession, folder: str) -> DataFrame:
-    return meta(spark, folder).select("idx", hashing.frame_seed(F.col("frames"), F.col("idx"), F.lit(12)).cast("bigint").alias("place"))
+    return meta(spark, folder, "frames").select("idx", hashing.frame_seed(F.col("frames"), F.col("idx"), F.lit(12)).cast("bigint").alias("place"))
 
 
 @query("prefix_offsets", f"select idx, frames, coalesce(sum(frames) over (order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as off from {META} where frames is not null")
 def prefix_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = meta(spark, folder).where("frames is not null").select("idx", "frames")
+    rows = meta(spark, folder, "frames").where("frames is not null")
     return running_sum(rows, F.col("frames").cast("bigint"), [F.col("idx")], out="off")
 
 
 @query("dense_ids", f"select idx, format('new-{{:06d}}', 7000 + row_number() over (order by sha1(idx), idx)) as new_id from {META}")
 def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
-    rows = position(meta(spark, folder).select("idx"), [F.sha1("idx"), F.col("idx")])
+    rows = position(meta(spark, folder), [F.sha1("idx"), F.col("idx")])
     return rows.select("idx", F.format_string("new-%06d", F.col("rank") + 7000).alias("new_id"))
 
 
@@ -213,4 +213,4 @@ def audit_sample(spark: SparkSession, folder: str) -> DataFrame:
 )
 def weighted_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A thousand draws with replacement, in proportion to the frames."""
-    return sel.weighted_draws(meta(spark, folder), "idx", F.coalesce("frames", F.lit(0)), 1000, "draw")
+    return sel.weighted_draws(meta(spark, folder, "frames"), "idx", F.coalesce("frames", F.lit(0)), 1000, "draw")

@@ -14,7 +14,7 @@ from klangsieb.plans.selection import META, meta
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     """Each clip with an array of codes, as long as its speaker's name and number."""
-    m = meta(spark, folder).where("speaker is not null")
+    m = meta(spark, folder, "speaker").where("speaker is not null")
     return m.select("idx", F.transform(F.filter(F.split("speaker", ""), lambda c: c != ""), F.ascii).alias("ids"))
 
 
@@ -47,7 +47,7 @@ def segment_mask(spark: SparkSession, folder: str) -> DataFrame:
 @query("block_run_lengths", f"select idx, list_transform(list_slice(string_split(s, '-'), 1, -2), lambda x: length(x)::int) as runs from (select idx, replace(speaker, '_', '-') as s from {META} where speaker is not null)")
 def block_run_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths of the runs before each delimiter; what follows the last one is dropped."""
-    m = meta(spark, folder).where("speaker is not null").select("idx", F.filter(F.split(F.replace("speaker", F.lit("_"), F.lit("-")), ""), lambda c: c != "").alias("chars"))
+    m = meta(spark, folder, "speaker").where("speaker is not null").select("idx", F.filter(F.split(F.replace("speaker", F.lit("_"), F.lit("-")), ""), lambda c: c != "").alias("chars"))
     return m.select("idx", arrays.block_runs(F.col("chars"), F.lit("-")).alias("runs"))
 
 

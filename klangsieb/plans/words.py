@@ -143,7 +143,7 @@ def proportional_text_cut(spark: SparkSession, folder: str) -> DataFrame:
 def regex_class_stats(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
     digits = t.rlike("[0-9]")
-    return meta(spark, folder).groupBy(F.lower(F.trim("corpus")).alias("corpus")).agg(
+    return meta(spark, folder, "corpus", "text", "dur").groupBy(F.lower(F.trim("corpus")).alias("corpus")).agg(
         F.count_if(digits).alias("numbers"), F.count_if(t.rlike(r"(^|[^\p{L}\p{N}_])[A-Z]{2,}([^\p{L}\p{N}_]|$)")).alias("acronyms"), F.count_if(t.rlike(r"(^|[^\p{L}\p{N}_])[A-Za-z]([^\p{L}\p{N}_]|$)")).alias("letters"),
         F.round(F.coalesce(F.sum(F.when(digits, F.col("dur").cast("decimal(18,6)"))), F.lit(0)).cast("double") / 3600, 6).alias("number_hours"),
     )
@@ -186,7 +186,7 @@ def capitalization_restore(spark: SparkSession, folder: str) -> DataFrame:
 def number_words(spark: SparkSession, folder: str) -> DataFrame:
     """Transcripts with numbers, the numbers in words."""
     lang = F.when(F.lower(F.trim("corpus")).endswith("_en"), "en").when(F.lower(F.trim("corpus")).endswith("_de"), "de").otherwise("pt")
-    m = meta(spark, folder).where(F.col("text").rlike("[0-9]"))
+    m = meta(spark, folder, "corpus", "text").where(F.col("text").rlike("[0-9]"))
     return m.select("idx", text.number_words(text.clean(text.nfc(F.col("text"))), lang).alias("text"))
 
 
@@ -194,7 +194,7 @@ def number_words(spark: SparkSession, folder: str) -> DataFrame:
 def greedy_quota_cover(spark: SparkSession, folder: str) -> DataFrame:
     """Clips for the rare words: rarest words first, three clips each, ten hours in all."""
     t = _tokens(spark, folder)
-    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(_rare(t), "word").join(meta(spark, folder).select("idx", "dur").where("dur > 0"), "idx")
+    index = t.select(F.col("folded").alias("word"), "idx").distinct().join(_rare(t), "word").join(meta(spark, folder, "dur").where("dur > 0"), "idx")
     rows = index.select("word", F.col("clips").alias("priority"), F.col("idx").alias("clip"), F.sha1("idx").alias("clip_order"), F.col("dur").alias("amount"))
     return sel.quota_cover(rows, 3, 36_000.0)
 

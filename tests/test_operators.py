@@ -32,6 +32,16 @@ def test_holding(spark):
     assert sorted(map(tuple, holding(df, "k", latest="o", keep=["v"]).collect())) == [("a", None), ("b", "q")]
 
 
+def test_holding_numbers_by_hash(spark):
+    rows = [("a", 1, 1.5, 1), ("a", 2, None, 2), ("b", None, 7.0, 3), ("b", -5, 8.0, None), ("c", None, 9.0, 4), (None, 1, 1.0, 5), ("d", 2**62, 1.0, 6), ("d", 2**62 + 1, 2.0, 7), ("d", -(2**63), 3.0, 8)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v double, w int")
+    assert sorted(map(tuple, holding(df, "k", latest="o", keep=["v", "w"]).collect())) == [("a", None, 2), ("b", 8.0, None), ("c", 9.0, 4), ("d", 2.0, 7)]
+    assert sorted(map(tuple, holding(df, "k", first="o", keep=["v", "w"]).collect())) == [("a", 1.5, 1), ("b", 8.0, None), ("c", 9.0, 4), ("d", 3.0, 8)]
+    tied = spark.createDataFrame([("a", 1, float(i), i) for i in range(50)], "k string, o bigint, v double, w int")
+    got = {tuple(holding(tied.repartition(n), "k", latest="o", keep=["v", "w"]).first()) for n in (1, 7)}
+    assert len(got) == 1 and all(v == w for _, v, w in got)
+
+
 def test_round_robin_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(f"k{i}", rng.choice("abc"), rng.randint(1, 9)) for i in range(200)]

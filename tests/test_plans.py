@@ -37,6 +37,14 @@ def test_holding_rows_are_folded_before_the_shuffle(spark):
     assert "partial_max" in p and "Window" not in p
 
 
+def test_numbers_of_holding_rows_are_folded_by_hash(spark, data):
+    p = QUERIES["global_summary"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in p and "partial_max_by" in p
+    assert re.findall(r"ReadSchema: struct<(.*?)>", p) == ["idx:string,dur_proc_s:double,written_at:timestamp"]
+    p = plan(QUERIES["seed_arithmetic_pool"](spark, data))
+    assert "SortAggregate" not in p and "speaker" not in p and "text" not in p.replace("Context", "")
+
+
 def test_overlaps_are_equi_joins(spark):
     s = spark.createDataFrame([("k", 0.0, 1.0)], "k string, start double, end double")
     p = plan(merge.overlaps(s, s, "k", 0.1, 10.0))
