@@ -1,28 +1,36 @@
-"""Same or near-same records across splits by segmented codes within a Hamming radius."""
+"""Same or near-same records across splits by segmented similarity fingerprints within a Hamming radius."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from klangsieb.functions.edit import edit_distance
 from klangsieb.functions.plain import plain_words
-from klangsieb.operators.ordered import only
+from klangsieb.operators.ordered import holding, only
 from klangsieb.session import bound_batches, settle
 
 #: Edits allowed, as a fraction of the words of the longer text: 1 / PART.
 PART = 5
-#: Words up to which the blocks of a text are compared by place as well.
-SHORT = 32
-#: Codes of one block beyond which it is salted, and the codes each salt then has.
-HOT_BLOCK = 50_000
-SALT_ROWS = 20_000
-MOST_SALTS = 256
+#: Words up to which texts are told apart by their exact size; beyond, by classes of a quarter more each.
+EXACT = 16
+#: Words up to which the folded fingerprint of 64 bits is compared, beyond it the whole one of 256.
+NARROW = 32
+#: Pairs of one block beyond which it is cut into parts, and the pairs that each part then has.
+HOT_BLOCK = 4_000_000
+#: Rows that may be sent to all tasks; what is larger is shuffled.
+SENT_ROWS = 200_000
+#: Copies of a text that one task spreads out.
+SPREAD_COPIES = 20_000
 
 
 def most_edits(n: int, part: int = PART) -> int:
@@ -32,136 +40,230 @@ def most_edits(n: int, part: int = PART) -> int:
 
 
 def segments(n: int, part: int = PART) -> list[tuple[int, int]]:
-    """(start, length) of the blocks of a code of ``n`` words: one more than the edits allowed, of even length."""
+    """(start, length) of the stretches of a text of ``n`` words: one more than the edits allowed, of even length."""
     count = min(most_edits(n, part) + 1, n)
     cuts = [i * n // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def short_limit(part: int = PART) -> int:
-    """Beyond this length all blocks have ``part - 2`` or ``part - 1`` words."""
-    return max(SHORT, (part - 1) * (part - 2))
+def size_class(n: int) -> int:
+    return n if n <= EXACT else EXACT + 1 + int(math.log(n / (EXACT + 1)) / math.log(1.25))
 
 
-def index_spans(n: int, part: int = PART) -> list[tuple[int, int, int, int]]:
-    """(size, number, start, length) of the blocks that a text of ``n`` words is indexed by.
-
-    Short texts are told apart by their size and the number of the block, long
-    ones by the words of the block alone (size and number 0).
-    """
-    far = n > short_limit(part)
-    return [(0, 0, s, k) if far else (n, i, s, k) for i, (s, k) in enumerate(segments(n, part))]
+def index_spans(n: int, part: int = PART) -> list[tuple[int, int, int]]:
+    """(size class, start, length) of the blocks that a text of ``n`` words is indexed by."""
+    return [(size_class(n), s, k) for s, k in segments(n, part)]
 
 
-def probe_windows(m: int, part: int = PART) -> list[tuple[int, int, int, int]]:
-    """(size, number, start, length) of every piece of a text of ``m`` words that may equal a partner's block.
+def probe_spans(m: int, part: int = PART) -> list[tuple[int, int, int]]:
+    """(size class, start, length) of every stretch of a text of ``m`` words that may equal a partner's block.
 
-    If a text of ``n`` words is within ``k`` edits, one of its ``k + 1`` blocks
-    occurs unchanged in the other text. For short partners, the first such
-    block has at most as many edits before it as blocks, and the rest of the
-    edits after it, which bounds how far it may have moved. For long partners
-    all pieces of a block's length are probed, so that the probes grow with
-    the text and no faster.
+    If a text of ``n`` words is within ``k`` edits of this one, one of its
+    ``k + 1`` blocks occurs here unchanged. The first such block has at most
+    as many edits before it as there are blocks before it, and the rest of the
+    edits after it, which bounds how far it may have moved where ``n`` is told
+    apart exactly. For larger texts every stretch of a block's length is
+    probed in the few classes that partners may have, so that the probes grow
+    in proportion to the text.
     """
-    out = []
-    low, high, short = -(-m * (part - 1) // part), m * part // (part - 1), short_limit(part)
-    for n in range(max(low, 1), min(high, short) + 1):
+    out: set[tuple[int, int, int]] = set()
+    wide: dict[int, set[int]] = {}
+    for n in range(max(1, -(-m * (part - 1) // part)), m * part // (part - 1) + 1):
         blocks = segments(n, part)
-        k, shift = len(blocks) - 1, m - n
+        k, shift = min(len(blocks) - 1, max(m, n) // part), m - n
+        if n > EXACT:
+            wide.setdefault(size_class(n), set()).update(length for _, length in blocks)
+            continue
         for i, (start, length) in enumerate(blocks):
-            first = max(0, start - i, start + shift - (k - i))
-            last = min(m - length, start + i, start + shift + (k - i))
-            out += [(n, i, s, length) for s in range(first, last + 1)]
-    if high > short:
-        out += [(0, 0, s, length) for length in (part - 2, part - 1) if length for s in range(m - length + 1)]
-    return out
+            first = max(0, start - min(i, k), start + shift - (k - min(i, k)))
+            last = min(m - length, start + min(i, k), start + shift + (k - min(i, k)))
+            out.update((n, s, length) for s in range(first, last + 1))
+    for size, lengths in wide.items():
+        out.update((size, s, length) for length in lengths for s in range(m - length + 1))
+    return sorted(out)
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def fingerprint(codes: np.ndarray) -> int:
-    """Similarity hash of 64 bits: the parity, per bit, of the words whose code picks that bit.
+def fingerprints(codes: np.ndarray) -> np.ndarray:
+    """Similarity fingerprints of texts of equal length, 256 bits in four numbers a row: the parity, per bit, of the words whose code picks that bit.
 
-    Order plays no part; one edit changes at most two bits (it takes a word
-    out, puts one in, or both), so texts within ``k`` edits have fingerprints
-    within a Hamming radius of ``2 * k``, always.
+    Order plays no part. One edit changes at most two bits (it takes a word
+    out, puts one in, or both), so texts within ``k`` edits that differ by
+    ``d`` in length are within a Hamming radius of ``2 * k - d``, always.
+    Fingerprints add up: that of a text is the exclusive or of those of its
+    stretches, and folding it keeps the radius.
     """
-    odd = np.bincount((codes & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8)).view(">i8")[0])
+    rows, n = codes.shape
+    at = (np.arange(rows)[:, None] * 256 + (codes & np.uint64(255)).astype(np.int64)).ravel()
+    odd = np.bincount(at, minlength=rows * 256).reshape(rows, 256) & 1
+    wide = np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+    if n <= NARROW:
+        wide[:, 0] = np.bitwise_xor.reduce(wide, axis=1)
+        wide[:, 1:] = 0
+    return wide
+
+
+def block_codes(codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Keys of the blocks ``spans`` (class, start, length) of texts of equal length, one row a text.
+
+    A block is the part of the fingerprint that a stretch of words makes up: a
+    code with one bit for each word of the language, set where the word occurs
+    an odd number of times. Such a code is nearly all zeros, so it is held as
+    the exclusive or of its words' digests, which adds up as the codes do;
+    class and length are mixed in.
+    """
+    total = np.concatenate([np.zeros((len(codes), 1), np.uint64), np.bitwise_xor.accumulate(codes, axis=1)], axis=1)
+    size, start, length = spans
+    mark = (size.astype(np.uint64) << np.uint64(32)) + length.astype(np.uint64) + np.uint64(1)
+    out = (total[:, start + length] ^ total[:, start]) + mark * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return (out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+def _whole(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType(), False) for n in names]
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
+# No column may be null, so that Spark adds no filters for nulls, which would keep it from reusing shuffles.
+_BLOCKS = T.StructType([*_whole("block", "key"), T.StructField("n", T.IntegerType(), False), T.StructField("at", T.IntegerType(), False), *_whole("f0", "f1", "f2", "f3")])
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), *[(f"f{i}", pa.int64()) for i in range(4)]])
+_NAMED = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("mark", T.LongType()), *_whole("key"), T.StructField("name", T.BinaryType(), False)])
+_EDITS = "query binary, match binary, edits int"
+_EDITS_ARROW = pa.schema([("query", pa.binary()), ("match", pa.binary()), ("edits", pa.int32())])
+#: Blocks made at a time.
+_HELD_BLOCKS = 400_000
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    """The first ``n`` powers of the base of the block codes, or of its inverse, modulo 2**64."""
-    if len(_powers[inverse]) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        _powers[inverse] = np.r_[np.uint64(1), np.cumprod(np.full(max(n, 1024), base, np.uint64))]
-    return _powers[inverse][:n]
+def text_name(words: Sequence[str]) -> bytes:
+    """A text's name: a hash of 128 bits of its words, whose first half is its key."""
+    return xxhash.xxh3_128_digest(" ".join(words))
 
 
-def piece_codes(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Codes of many pieces of one text: polynomials of the word codes, modulo 2**64."""
-    total = np.r_[np.uint64(0), np.cumsum(codes * _power(len(codes), False))]
-    return ((total[start + length] - total[start]) * _power(len(codes) + 1, True)[start]).view(np.int64)
+def _keys(names: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(names), np.int64)[::2]
 
 
-_WORDS = "id string, words array<string>, n int"
-_WORDS_ARROW = pa.schema([("id", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int32())])
-_EDITS_ARROW = pa.schema([("query", pa.string()), ("match", pa.string()), ("edits", pa.int32())])
-_CODES = "key string, n int, print bigint, size int, block int, at int, code bigint"
-_CODES_ARROW = pa.schema([("key", pa.string()), ("n", pa.int32()), ("print", pa.int64()), ("size", pa.int32()), ("block", pa.int32()), ("at", pa.int32()), ("code", pa.int64())])
+def sentences(df: DataFrame, item: str, text: str, first: str | None = None) -> DataFrame:
+    """(id, text) of the rows to compare. With ``first``, of the rows of one id that with the least value there is the one that counts."""
+    cols = [F.col(item).cast("string").alias("id"), F.col(text).cast("string").alias("text")]
+    if first:
+        return only(bound_batches(df), item, text, first).select(*cols, F.col(first).cast("bigint").alias("line"))
+    return only(bound_batches(df), item, text).select(*cols)
 
 
-def with_words(df: DataFrame, item: str, text: str) -> DataFrame:
-    """(id, words, n): the plain words; texts without any are left out, as they have no sentence to share."""
+def with_names(texts: DataFrame) -> DataFrame:
+    """(id, text, mark, key, name) of ``sentences``; texts without plain words are left out, as they have no sentence to share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, w) for i, t in zip(*(b.column(k).to_pylist() for k in range(2))) if (w := plain_words(t))]
-            yield pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "words": [w for _, w in rows], "n": [len(w) for _, w in rows]}, schema=_WORDS_ARROW)
+            words = [plain_words(t) for t in b.column(1).to_pylist()]
+            names = [text_name(w) for w in words if w]
+            cols = [c.filter(pa.array([bool(w) for w in words], pa.bool_())) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(_keys(names)), pa.array(names, pa.binary())], names=_NAMED.names)
+
+    return texts.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, _NAMED)
 
-    return only(bound_batches(df), item, text).select(F.col(item).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _WORDS)
 
+def _blocks(texts: DataFrame, probing: bool, part: int) -> DataFrame:
+    """The blocks of every text (or all stretches that may equal one), with its size and fingerprint.
 
-def _codes(texts: DataFrame, probing: bool, part: int) -> DataFrame:
-    """The blocks of every text (or all pieces that may equal one), with the fingerprint."""
+    Equal texts of a batch give their blocks once. Texts of one length are
+    worked on together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         spans: dict[int, np.ndarray] = {}
         for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(words)
+            same_size: dict[int, dict[tuple[str, ...], None]] = {}
+            for t in b.column(0).to_pylist():
+                words = tuple(plain_words(t))
+                if words:
+                    same_size.setdefault(len(words), {})[words] = None
+            if len(known) > 500_000:
+                known.clear()
+            for n, group in same_size.items():
                 if n not in spans:
-                    if len(spans) > 2000:
+                    if len(spans) > 500:
                         spans.clear()
-                    spans[n] = np.array(probe_windows(n, part) if probing else index_spans(n, part), np.int64).T
-                size, block, start, length = spans[n]
-                codes = word_codes(words)
-                rows.append((key, n, fingerprint(codes), size, block, start, piece_codes(codes, start, length)))
-                held += len(size)
-                if held > 200_000:
-                    yield _spread(rows)
-                    rows, held = [], 0
-            yield _spread(rows)
+                    spans[n] = np.array((probe_spans if probing else index_spans)(n, part), np.int64).T
+                rows = list(group)
+                step = max(1, _HELD_BLOCKS // max(n, spans[n].shape[1]))
+                for a in range(0, len(rows), step):
+                    yield _block_rows(rows[a : a + step], n, spans[n], known)
+
+    return texts.select("text").mapInArrow(run, _BLOCKS)
+
+
+def _block_rows(rows: list[tuple[str, ...]], n: int, spans: np.ndarray, known: dict[str, int]) -> pa.RecordBatch:
+    flat: list[int] = []
+    for words in rows:
+        for w in words:
+            code = known.get(w)
+            if code is None:
+                code = known[w] = xxhash.xxh3_64_intdigest(w)
+            flat.append(code)
+    codes = np.array(flat, np.uint64).reshape(len(rows), n)
+    keys = _keys([text_name(w) for w in rows])
+    prints, blocks = fingerprints(codes), block_codes(codes, spans)
+    times = spans.shape[1]
+    cols = [blocks.ravel(), np.repeat(keys, times), np.full(blocks.size, n, np.int32), np.tile(spans[1].astype(np.int32), len(rows)), *(np.repeat(prints[:, i], times) for i in range(4))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_BLOCKS_ARROW)
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(and_, conditions)
 
-    return texts.select("key", "words").mapInArrow(run, _CODES)
 
+def _within_radius(part: int) -> Column:
+    """Sizes, places and fingerprints of the rows ``a`` and ``b`` allow for a near-same pair."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    longest, apart = F.greatest(a("n"), b("n")), F.abs(a("n") - b("n"))
+    edits = F.floor(longest / F.lit(part)).cast("int")
+    differ = [a(f"f{i}").bitwiseXOR(b(f"f{i}")) for i in range(4)]
+    narrow = F.bit_count(reduce(lambda x, y: x.bitwiseXOR(y), differ))
+    wide = reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ])
+    bits = F.when(F.least(a("n"), b("n")) > NARROW, wide).otherwise(narrow)
+    return _all([apart <= edits, F.abs(a("at") - b("at")) <= edits, bits <= 2 * edits - apart])
 
-def _spread(rows: list[tuple]) -> pa.RecordBatch:
-    """One row per piece."""
-    times = np.array([len(r[3]) for r in rows], np.int64)
-    keys = pa.array([r[0] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), times)))
-    whole = [np.repeat(np.array([r[i] for r in rows], np.int64), times) for i in (1, 2)]
-    pieces = [np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in (3, 4, 5, 6)]
-    cols = [keys, *(pa.array(c).cast(t) for c, t in zip([*whole, *pieces], _CODES_ARROW.types[1:]))]
-    return pa.RecordBatch.from_arrays(cols, schema=_CODES_ARROW)
+
+def meeting_pairs(queries: DataFrame, base: DataFrame, part: int = PART, hot: int = HOT_BLOCK) -> DataFrame:
+    """(query, match): keys of the texts of ``sentences`` that share a block and lie in the Hamming radius.
+
+    Both sides are shuffled once, by block, and their rows are counted and
+    joined in that partitioning. Blocks with more than ``hot`` pairs are cut
+    into parts, however many they are: each row of the side that has more of
+    them goes to one part, each of the other to all.
+    """
+    kept = _BLOCKS.names
+    probes, index = (_blocks(t, probing, part).repartition("block").distinct() for t, probing in ((queries, True), (base, False)))
+    asked, there = probes.groupBy("block").agg(F.count("*").alias("asked")), index.groupBy("block").agg(F.count("*").alias("there"))
+    counts = asked.hint("shuffle_hash").join(there, "block")
+    parts = F.ceil(F.col("asked").cast("double") * F.col("there") / hot).cast("int")
+    # an exchange of its own, so that Spark counts once and reuses the few rows
+    crowded = counts.select("block", parts.alias("parts"), (F.col("asked") > F.col("there")).alias("more_asked")).where("parts > 1").repartition("block", "parts")
+    near = _within_radius(part)
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        joined = a.hint("merge").alias("a").join(b.hint("merge").alias("b"), _all([F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [near]))
+        return joined.select(F.col("a.key").alias("query"), F.col("b.key").alias("match"))
+
+    def cut(df: DataFrame, larger: Column) -> DataFrame:
+        one = F.array(F.pmod(F.xxhash64("key", "at"), F.col("parts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        return df.join(crowded.hint("shuffle_hash"), "block").select(*kept, F.explode(F.when(larger, one).otherwise(every)).alias("cut"))
+
+    plain = [x.join(crowded.select("block").hint("shuffle_hash"), "block", "left_anti") for x in (probes, index)]
+    split = [cut(probes, F.col("more_asked")), cut(index, ~F.col("more_asked"))]
+    return met(*plain, ["block"]).unionByName(met(*split, ["block", "cut"])).distinct()
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """To all tasks if it has few rows, else shuffled. What Python puts out can't be estimated by Spark, so one of the two is always said."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df.hint("merge")
 
 
 def _verify(pairs: DataFrame, part: int) -> DataFrame:
@@ -169,71 +271,65 @@ def _verify(pairs: DataFrame, part: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right, x, y = (b.column(i).to_pylist() for i in range(4))
-            edits = [edit_distance(p, q) for p, q in zip(x, y)]
-            good = [i for i, e in enumerate(edits) if e * part <= max(len(x[i]), len(y[i]))]
-            yield pa.RecordBatch.from_pydict({"query": [left[i] for i in good], "match": [right[i] for i in good], "edits": [edits[i] for i in good]}, schema=_EDITS_ARROW)
-
-    return pairs.select("query", "match", "x", "y").mapInArrow(run, "query string, match string, edits int")
+            out: list[tuple[bytes, bytes, int]] = []
+            for q, m, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = plain_words(x), plain_words(y)
+                edits = edit_distance(x, y)
+                if edits * part <= max(len(x), len(y)):
+                    out.append((q, m, edits))
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(_EDITS_ARROW.names)}, schema=_EDITS_ARROW)
 
+    return pairs.select("query", "match", "x", "y").mapInArrow(run, _EDITS)
 
-def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(key, words, n, copies): one row per distinct sequence of words; its key is a 128-bit hash of the sequence."""
-    return with_key(texts).groupBy("key").agg(F.min("words").alias("words"), F.min("n").alias("n"), F.count("*").alias("copies"))
 
-
-def with_key(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("key", F.md5(F.array_join("words", " ")))
+def _found(texts: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    """(id, key, name, text) of the rows that have one of the ``keys`` and count for their id."""
+    found = settle(with_names(texts).join(_sent(keys, rows), "key", "left_semi"))
+    if "line" not in texts.columns:
+        return found
+    ids = found.select("id").distinct()
+    lines = texts.select("id", "line", F.xxhash64("text").alias("mark")).join(_sent(ids, ids.count()), "id", "left_semi")
+    return found.join(holding(lines, "id", first="line", keep=["mark"]).hint("merge"), ["id", "mark"], "left_semi")
 
 
 def near_same(queries: DataFrame, base: DataFrame, part: int = PART, hot: int = HOT_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of (query, base) texts that differ in at most ``1 / part`` of the words of the longer one.
 
-    Both inputs come from ``with_words``. Returns ``(pairs, query_members,
+    Both inputs come from ``sentences``. Returns ``(pairs, query_members,
     base_members)``: pairs (query, match, edits) between distinct texts, and
-    (id, key) for the rows that have each text, so that copies aren't paired
-    with each other here.
-
-    The code of a text is the sequence of its word hashes. A base text's code
-    is cut into one more block than edits are allowed; a near-same query has
-    one of these blocks, unchanged and not far from its place
-    (``probe_windows``), so joining blocks misses nothing. A pair that meets
-    in a block must also lie within the Hamming radius of twice the edits
-    allowed by the 64-bit similarity fingerprints, and the block must not have
-    moved by more than those edits, both tested inside the join;
-    what is left is verified word by word. Blocks with more than ``hot`` base
-    texts (a bounded number of them, as each has so many rows) are salted.
+    (id, name) for the rows that have each of these texts, so that copies
+    aren't paired with each other here. Null and wordless texts pair with
+    nothing; an empty side gives no pairs.
+
+    A text's similarity fingerprint is cut into blocks, one more than edits
+    are allowed, each made up by a stretch of its words. A near-same query has
+    one of these blocks in one of its own stretches (``probe_spans``), so
+    joining blocks misses nothing. Pairs that meet in a block must have sizes,
+    places and whole fingerprints within the radius that the edits allow,
+    tested inside the join; what is left is verified word by word. Texts are
+    never shuffled: those that met are picked out of the inputs again.
     """
-    q_rows, b_rows = with_key(queries), with_key(base)
-    q_texts, b_texts = settle(distinct_texts(queries)), settle(distinct_texts(base))
-    index, probes = _codes(b_texts, False, part), _codes(q_texts, True, part)
-    where = ["size", "block", "code"]
-    crowded = index.groupBy(*where).agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
-    salts = crowded.select(*where, F.least(F.ceil(F.col("rows") / SALT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts"))
-    salts = F.broadcast(salts.orderBy(F.desc("salts"), *where).limit(100_000))  # 2 MB; beyond, blocks go unsalted, and lose nothing
-    salted = index.join(salts, where, "left").withColumn("salt", F.pmod(F.hash("key"), F.coalesce("salts", F.lit(1)))).select(F.col("key").alias("match"), F.col("n").alias("bn"), F.col("print").alias("bp"), F.col("at").alias("ba"), *where, "salt")
-    spread = probes.join(salts, where, "left").select(F.col("key").alias("query"), F.col("n").alias("qn"), F.col("print").alias("qp"), F.col("at").alias("qa"), *where, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    longest = F.greatest("qn", "bn")
-    edits = F.floor(longest / F.lit(part)).cast("int")
-    near = (F.abs(F.col("qn") - F.col("bn")) <= edits) & (F.abs(F.col("qa") - F.col("ba")) <= edits) & (F.bit_count(F.col("qp").bitwiseXOR(F.col("bp"))) <= 2 * edits)
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*where, "salt"]]
-    found = spread.hint("merge").alias("a").join(salted.hint("merge").alias("b"), _all(on) & near, "inner").select("query", "match").distinct()
-    # what a Python function puts out is estimated by what goes in, so none of these sides may be broadcast
-    full = found.join(q_texts.select(F.col("key").alias("query"), F.col("words").alias("x")).hint("merge"), "query")
-    full = full.join(b_texts.select(F.col("key").alias("match"), F.col("words").alias("y")).hint("merge"), "match")
-    return _verify(full, part), q_rows.select("id", "key").distinct(), b_rows.select("id", "key").distinct()
+    met = settle(meeting_pairs(queries, base, part, hot))
+    n = met.count()
+    q_found, b_found = (_found(t, met.select(F.col(side).alias("key")).distinct(), n) for t, side in ((queries, "query"), (base, "match")))
+    x, y = (f.dropDuplicates(["key", "name"]).select(F.col("key").alias(f"{side}_key"), F.col("name").alias(side), F.col("text").alias(c)).hint("merge") for f, side, c in ((q_found, "query", "x"), (b_found, "match", "y")))
+    keyed = met.toDF("query_key", "match_key").hint("merge").join(x, "query_key").hint("merge").join(y, "match_key")
+    return _verify(keyed, part), *(f.select("id", "name").distinct() for f in (q_found, b_found))
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
-def expand(pairs: DataFrame, query_members: DataFrame, base_members: DataFrame, salts: int = 16) -> DataFrame:
-    """(query id, base id, edits) of all rows; the copies of one text are spread over ``salts`` tasks."""
-    near = pairs.join(query_members.select(F.col("key").alias("query"), F.col("id").alias("query_id")).hint("merge"), "query")
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = base_members.select(F.col("key").alias("match"), F.col("id").alias("base_id"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
-    return near.join(rows.hint("merge"), ["match", "salt"]).select("query_id", "base_id", "edits")
+def expand(pairs: DataFrame, query_members: DataFrame, base_members: DataFrame, copies: int = SPREAD_COPIES) -> DataFrame:
+    """(query id, base id, edits) of all rows. A text with many copies on either side is spread over as many tasks as it needs for ``copies`` each."""
+
+    def parts(members: DataFrame, side: str) -> DataFrame:
+        return members.groupBy(F.col("name").alias(side)).agg(F.ceil(F.count("*") / copies).cast("int").alias(f"{side}_parts"))
+
+    def rows(members: DataFrame, side: str, out: str) -> DataFrame:
+        split = members.withColumnRenamed("name", side).join(parts(members, side).hint("merge"), side)
+        return split.select(side, F.pmod(F.xxhash64("id"), F.col(f"{side}_parts")).cast("int").alias(f"{side}_part"), F.col("id").alias(out))
+
+    def spread(df: DataFrame, members: DataFrame, side: str) -> DataFrame:
+        return df.join(parts(members, side).hint("merge"), side).withColumn(f"{side}_part", F.explode(F.sequence(F.lit(0), F.col(f"{side}_parts") - 1))).drop(f"{side}_parts")
+
+    near = spread(spread(pairs, query_members, "query"), base_members, "match")
+    near = near.join(rows(query_members, "query", "query_id").hint("merge"), ["query", "query_part"])
+    return near.join(rows(base_members, "match", "base_id").hint("merge"), ["match", "match_part"]).select("query_id", "base_id", "edits")

@@ -12,7 +12,7 @@ from klangsieb.llm.capping import cap_contributors, speaker_key
 from klangsieb.llm.chunking import cut_texts
 from klangsieb.llm.leakage import leaks
 from klangsieb.llm.mixing import enabled_clips, mix_to_shares
-from klangsieb.llm.overlap import expand, near_same, with_words
+from klangsieb.llm.overlap import expand, near_same, sentences
 from klangsieb.llm.packing import CAPACITY, pack, utilisation
 from klangsieb.llm.splitting import ALONE, balanced_splits, components, split_name, split_report
 from klangsieb.llm.terms import mark_terms, term_counts
@@ -96,9 +96,11 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _overlap(spark: SparkSession, folder: str) -> DataFrame:
-    train = _read(spark, folder, "splits").where(split_name(F.col("split")) == "train").select("idx").distinct()
-    clips = holding(_read(spark, folder, "texts").join(train, "idx", "left_semi"), "idx", first="line_no", keep=["text"])
-    return expand(*near_same(with_words(_read(spark, folder, "testset"), "id", "text"), with_words(clips, "idx", "text")))
+    """(query_id, base_id, edits) of the evaluation items and the training clips."""
+    items, lines = sentences(_read(spark, folder, "testset"), "id", "text"), sentences(_read(spark, folder, "texts").where("idx is not null"), "idx", "text", first="line_no")
+    pairs = expand(*near_same(items, lines))
+    train = _read(spark, folder, "splits").where(split_name(F.col("split")) == "train").select(F.col("idx").alias("base_id"))
+    return pairs.join(train, "base_id", "left_semi")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

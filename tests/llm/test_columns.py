@@ -6,7 +6,7 @@ from klangsieb.llm.capping import cap_contributors
 from klangsieb.llm.chunking import cut_texts
 from klangsieb.llm.leakage import leaks
 from klangsieb.llm.mixing import mix_to_shares
-from klangsieb.llm.overlap import expand, near_same, with_words
+from klangsieb.llm.overlap import expand, near_same, sentences
 from klangsieb.llm.packing import pack
 from klangsieb.llm.splitting import components
 from klangsieb.llm.terms import term_counts
@@ -31,8 +31,8 @@ def test_all(spark):
     assert term_counts(doc)[0].count() == 8
     assert cap_contributors(meta, "idx", "corpus", "dur_proc_s", max_count=1).count() == 1
     assert components(meta, "idx", ["corpus"]).first()["component"] == "s"
-    words = with_words(doc, "doc_id", "text")
-    assert expand(*near_same(words, words)).count() == 1
+    rows = sentences(doc, "doc_id", "text")
+    assert expand(*near_same(rows, rows)).count() == 1
     assert pack(_odd(spark, (1, 5), "item long, size long"), "item", "size").count() == 1
     item = _odd(spark, (5, "eins zwei drei vier fünf sechs sieben acht"), "item_id long, text string")
     assert leaks(doc, item).count() == 1

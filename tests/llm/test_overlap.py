@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from klangsieb.functions.edit import edit_distance
 from klangsieb.functions.plain import plain_words
-from klangsieb.llm.overlap import expand, fingerprint, index_spans, near_same, piece_codes, probe_windows, with_words, word_codes
+from klangsieb.llm.overlap import block_codes, expand, fingerprints, index_spans, meeting_pairs, near_same, probe_spans, sentences, text_name, word_codes
 
 
 def _table(a, b):
@@ -44,16 +44,29 @@ def test_no_near_pair_is_missed(base, data):
     k = edit_distance(query, base)
     if not query or 5 * k > max(len(query), len(base)):
         return
-    blocks = {(size, i, tuple(base[s : s + n])) for size, i, s, n in index_spans(len(base))}
-    assert any((size, i, tuple(query[s : s + n])) in blocks for size, i, s, n in probe_windows(len(query)))
-    a, b = (fingerprint(word_codes([str(x) for x in t])) for t in (query, base))
-    assert ((a ^ b) & (2**64 - 1)).bit_count() <= 2 * k
+    words = [[str(x) for x in t] for t in (query, base)]
+    qc, bc = (word_codes(w)[None] for w in words)
+    spans = np.array(index_spans(len(base)), np.int64).T, np.array(probe_spans(len(query)), np.int64).T
+    assert set(block_codes(qc, spans[1])[0].tolist()) & set(block_codes(bc, spans[0])[0].tolist())
+    whole = [{(c, tuple(t[s : s + n])) for c, s, n in f(len(t))} for t, f in ((query, probe_spans), (base, index_spans))]
+    assert whole[0] & whole[1]
+    a, b = (fingerprints(c)[0].view(np.uint64) for c in (qc, bc))
+    radius = 2 * k - abs(len(query) - len(base))
+    assert sum(int(x).bit_count() for x in [np.bitwise_xor.reduce(a ^ b)]) <= radius
+    if min(len(query), len(base)) > 32:
+        assert sum(int(x).bit_count() for x in a ^ b) <= radius
 
 
-def test_piece_codes_depend_on_the_piece_only():
-    c = word_codes(list("xabcyyabc"))
-    got = piece_codes(c, np.array([1, 6, 0]), np.array([3, 3, 3]))
-    assert got[0] == got[1] != got[2]
+def test_blocks_add_up_to_the_text():
+    """A block's code depends on its words alone, and equals that of the same words in another order."""
+    c = word_codes(list("xabcyybac"))[None]
+    got = block_codes(c, np.array([[7, 7, 7, 8], [1, 6, 0, 1], [3, 3, 3, 3]]))[0]
+    assert got[0] == got[1] and len(set(got.tolist())) == 3
+    assert (fingerprints(c)[0] == fingerprints(c[:, ::-1].copy())[0]).all()
+
+
+def test_probes_grow_with_the_text_and_no_faster():
+    assert max(len(probe_spans(m)) / m for m in (5, 10, 16, 20, 33, 100, 1000, 3000)) < 10
 
 
 def _rows(rng, n, words, prefix):
@@ -70,12 +83,12 @@ def _brute(q, b):
 
 def _run(spark, q, b, **how):
     qd, bd = (spark.createDataFrame(x, "id string, text string, words int") for x in ([(*r, 1) for r in q], [(*r, 1) for r in b]))
-    out = expand(*near_same(with_words(qd, "id", "text"), with_words(bd, "id", "text"), **how)).collect()
+    out = expand(*near_same(sentences(qd, "id", "text"), sentences(bd, "id", "text"), **how), copies=30).collect()
     pairs = [(r["query_id"], r["base_id"]) for r in out]
     return pairs
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
+@pytest.mark.parametrize("hot", [4_000_000, 3])
 def test_against_all_pairs(spark, hot):
     rng = random.Random(hot)
     words = [f"w{i}" for i in range(6)]
@@ -101,3 +114,35 @@ def test_near_variants_and_long_texts(spark):
 
 def test_empty_sides(spark):
     assert _run(spark, [], [("b", "a b")]) == [] and _run(spark, [("q", "a b")], []) == []
+
+
+def test_of_the_lines_of_one_id_the_first_counts(spark):
+    b = spark.createDataFrame([("x", 2, "a b c d e"), ("x", 1, "z y"), ("y", None, "z"), ("y", 9, "A b, c d e"), ("z", 1, None), ("z", 2, "a b c d e"), (None, 1, "a b c d e")], "id string, n int, text string")
+    q = spark.createDataFrame([("q", "a b c d e")], "id string, text string")
+    near = near_same(sentences(q, "id", "text"), sentences(b.where("id is not null"), "id", "text", first="n"))
+    assert [tuple(r) for r in expand(*near).collect()] == [("q", "y", 0)]
+
+
+def test_long_texts_with_common_sequences(spark):
+    """100,000 texts of 40 to 200 words, two thirds of which are taken from 200 common sequences of four."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 3000, (200, 4))
+
+    def text():
+        n = int(rng.integers(40, 201))
+        parts = [common[rng.integers(200)] if rng.random() < 0.67 else rng.integers(0, 30000, 4) for _ in range(-(-n // 4))]
+        return np.concatenate(parts)[:n]
+
+    base = [text() for _ in range(100_000)]
+    queries = []
+    for i in range(0, 100_000, 1000):
+        t = base[i].copy()
+        t[rng.choice(len(t), len(t) // 5, replace=False)] = 99_999
+        queries.append(t)
+    frame = lambda rows, p: spark.createDataFrame([(f"{p}{i}", " ".join(map(str, t))) for i, t in enumerate(rows)], "id string, text string")
+    q, b = sentences(frame(queries, "q"), "id", "text"), sentences(frame(base, "b").repartition(8), "id", "text")
+    met = meeting_pairs(q, b)
+    assert met.count() < 2000
+    pairs = {(r["query_id"], r["base_id"]) for r in expand(*near_same(q, b)).collect()}
+    assert {(f"q{i}", f"b{1000 * i}") for i in range(100)} == pairs
+    assert len(text_name(["a"])) == 16
