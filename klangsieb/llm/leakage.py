@@ -3,168 +3,227 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klangsieb.functions.plain import plain_word_parts, plain_words
+from klangsieb.functions.plain import plain_word_parts
 from klangsieb.operators.ordered import only
-from klangsieb.session import bound_batches
+from klangsieb.session import bound_batches, settle
 
-#: Consecutive words that make a leak, words of a block, bits of the shift table, words of a lane.
+#: Consecutive words that make a leak, words of a block, words of a lane.
 RUN = 8
 BLOCK = 2
-TABLE_BITS = 20
 LANE = 512
-#: Words of documents searched at a time, and words of test items that one pass searches for.
+#: Bits of the tables that every task gets: one byte a slot, sixteen slots a pattern, up to 16 MB each.
+LEAST_BITS, MOST_BITS = 12, 24
+#: Words of documents searched at a time; words whose codes a task remembers.
 SEARCHED = 1 << 20
-PASS_WORDS = 4_000_000
+KNOWN_WORDS = 500_000
+#: Bytes of patterns that may be sent to all tasks for the comparison; more are shuffled.
+SENT_BYTES = 8 << 20
+_PARTS = 64
 
 
-class Patterns:
-    """All runs of ``run`` words of the test items, with the tables of the search.
+class Tables(NamedTuple):
+    """What a search needs, however many patterns there are.
 
-    The alphabet is the words: each word of an item has a number, all other
-    words are 0. ``shift`` says, by the hash of the last ``BLOCK`` words of a
-    window, how far the window may move on: to the nearest place at which the
-    block occurs in any pattern, or by its whole length if it occurs nowhere.
-    Where that is 0, the patterns that end in such a block are in one bucket
-    of the suffix hash, told apart by a hash of all their words and confirmed
-    word by word.
+    ``shift`` says, by the hash of the last ``BLOCK`` words of a window, how
+    far the window may move on: to the nearest place at which the block occurs
+    in any pattern, or by its whole length if it occurs nowhere. Where that is
+    0, ``bucket`` says by the hash of the whole window whether any pattern is
+    there to compare with.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN) -> None:
-        self.run, self.vocabulary = run, {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for a in range(len(ids) - run + 1):
-                owners.setdefault(tuple(ids[a : a + run]), set()).add(item)
-        rows = [list(k) for k in owners]
-        self.words = np.array(rows, np.int64).reshape(len(rows), run)
-        full = _window_hash(self.words)
-        order = np.argsort(full, kind="stable")
-        self.words, self.hashes = self.words[order], full[order]
-        owned = [sorted(x) for x in owners.values()]
-        self.owners = [owned[k] for k in order.tolist()]
-        self.shift = np.full(1 << TABLE_BITS, run - BLOCK + 1, np.uint8 if run < 250 else np.int64)
-        for a in range(run - BLOCK + 1):
-            h = _block_hash(self.words[:, a], self.words[:, a + 1])
-            np.minimum.at(self.shift, h, run - BLOCK - a)
-
-    def search(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lane, pattern) of every occurrence that lies within one of the lanes ``[starts, ends)`` of ``text``.
-
-        All lanes move together: one step looks up the shift of the block that
-        ends each lane's window and moves the window on.
-        """
-        lane = np.flatnonzero(ends - starts >= self.run)
-        at = starts[lane] + self.run - 1  # the last word of the window
-        last = ends[lane]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(lane):
-            move = self.shift[_block_hash(text[at - 1], text[at])]
-            stop = np.flatnonzero(move == 0)
-            if len(stop):
-                window = text[at[stop][:, None] + np.arange(1 - self.run, 1)]
-                self._confirm(window, lane[stop], found)
-            at = at + np.maximum(move, 1)
-            on = at < last
-            if not on.all():
-                lane, at, last = lane[on], at[on], last[on]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-    def _confirm(self, window: np.ndarray, lane: np.ndarray, found: list) -> None:
-        h = _window_hash(window)
-        k = np.searchsorted(self.hashes, h)
-        todo = np.flatnonzero(k < len(self.hashes))
-        while len(todo):
-            todo = todo[self.hashes[k[todo]] == h[todo]]
-            same = (self.words[k[todo]] == window[todo]).all(axis=1)
-            if same.any():
-                found.append((lane[todo[same]], k[todo[same]]))
-            todo = todo[~same]
-            k[todo] += 1
-            todo = todo[k[todo] < len(self.hashes)]
-
-
-def _block_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a * 0x9E3779B1 + b) * 0x85EBCA77
-    return (h >> 11) & ((1 << TABLE_BITS) - 1)
-
-
-def _window_hash(rows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(rows), np.int64)
+    run: int
+    bits: int
+    shift: np.ndarray
+    bucket: np.ndarray
+
+
+def table_bits(patterns: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * patterns).bit_length()))
+
+
+def word_codes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    out = []
+    for w in words:
+        code = known.get(w)
+        if code is None:
+            code = known[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(code)
+    return np.array(out, np.uint64)
+
+
+def block_slots(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return (((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def window_hashes(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
     for k in range(rows.shape[1]):
-        h = h * 0x100000001B3 + rows[:, k] + 1
+        h = (h ^ rows[:, k]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(35)
     return h
 
 
-_HIT = "doc bigint, item bigint, words int"
-_HIT_ARROW = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("words", pa.int32())])
+def windows_of(codes: np.ndarray, run: int) -> np.ndarray:
+    n = max(0, len(codes) - run + 1)
+    return codes[np.arange(n)[:, None] + np.arange(run)[None, :]]
+
 
+def search(tables: Tables, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the last word of every window that may be a pattern and lies within one of the lanes ``[starts, ends)``.
 
-def _search_all(patterns: Patterns):
-    def flush(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
-        text = np.concatenate(texts) if texts else np.empty(0, np.int64)
-        size = np.array([len(x) for x in texts], np.int64)
+    All lanes move together: one step looks up the shift of the block that
+    ends each lane's window and moves the window on.
+    """
+    live = np.flatnonzero(ends - starts >= tables.run)
+    at, last = starts[live] + tables.run - 1, ends[live]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(at):
+        move = tables.shift[block_slots(text[at - 1], text[at], tables.bits)]
+        stop = at[move == 0]
+        if len(stop):
+            h = window_hashes(text[stop[:, None] + np.arange(1 - tables.run, 1)])
+            there = tables.bucket[(h >> np.uint64(64 - tables.bits)).astype(np.int64)] > 0
+            found.append((stop[there], h[there]))
+        at = at + np.maximum(move, 1)
+        on = at < last
+        if not on.all():
+            at, last = at[on], last[on]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+_PATTERN = "item bigint, hash bigint, words string"
+_PATTERN_ARROW = pa.schema([("item", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])
+_ENTRY = "kind int, slot bigint, move int"
+_ENTRY_ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("move", pa.int32())])
+_HIT_ARROW = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])
+
+
+def _patterns(passages: DataFrame, run: int) -> DataFrame:
+    """(item, hash, words): all runs of ``run`` words of the test items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tail: list[str] = []
+                for part in plain_word_parts(text):
+                    words = tail + part
+                    tail = words[1 - run :]
+                    h = window_hashes(windows_of(word_codes(words, known), run)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(h), pa.int64()), pa.array(h), pa.array([" ".join(words[k : k + run]) for k in range(len(h))], pa.string())], schema=_PATTERN_ARROW)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+
+    return passages.mapInArrow(cut, _PATTERN).distinct()
+
+
+def _tables(patterns: DataFrame, count: int, run: int) -> Tables:
+    """The tables, made where the patterns are; their finished parts, a fixed number of bytes in all, are joined on the driver."""
+    bits = table_bits(count)
+    most = run - BLOCK + 1
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h = b.column(0).to_numpy().view(np.uint64)
+            rows = np.concatenate([word_codes(w.split(" "), known) for w in b.column(1).to_pylist()]).reshape(-1, run)
+            known.clear()
+            slots = [(h >> np.uint64(64 - bits)).astype(np.int64), *(block_slots(rows[:, a], rows[:, a + 1], bits) for a in range(run - BLOCK + 1))]
+            moves = [1, *(run - BLOCK - a for a in range(run - BLOCK + 1))]
+            kinds = [1] + [0] * (run - BLOCK + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int32), len(h))) if i != 1 else pa.array(np.concatenate(slots)) for i, x in enumerate((kinds, slots, moves))], schema=_ENTRY_ARROW)
+
+    least = patterns.select("hash", "words").mapInArrow(entries, _ENTRY).groupBy("kind", "slot").agg(F.min("move").alias("move"))
+    width = (1 << bits) // _PARTS
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, number = int(pdf["kind"].iat[0]), int(pdf["part"].iat[0])
+        piece = np.full(width, 0 if kind else most, np.uint8)
+        piece[pdf["slot"].to_numpy() - number * width] = pdf["move"].to_numpy()
+        return pd.DataFrame({"kind": [kind], "part": [number], "piece": [piece.tobytes()]})
+
+    done = least.withColumn("part", F.floor(F.col("slot") / width)).groupBy("kind", "part").applyInPandas(part, "kind int, part bigint, piece binary")
+    shift, bucket = np.full(1 << bits, most, np.uint8), np.zeros(1 << bits, np.uint8)
+    for r in done.toLocalIterator():
+        (bucket if r["kind"] else shift)[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["piece"], np.uint8)
+    return Tables(run, bits, shift, bucket)
+
+
+def _windows(tables: Tables):
+    """Candidates (doc, hash, words) of every text."""
+
+    def flush(ids: list[int], texts: list[list[str]], codes: list[np.ndarray]) -> pa.RecordBatch:
+        text = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        size = np.array([len(x) for x in codes], np.int64)
         first = np.cumsum(size) - size
         lanes = np.maximum(1, -(-size // LANE))
-        doc = np.repeat(np.arange(len(texts)), lanes)
+        doc = np.repeat(np.arange(len(codes)), lanes)
         start = first[doc] + LANE * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        end = np.minimum(start + LANE + patterns.run - 1, (first + size)[doc])
-        lane, hit = patterns.search(text, start, end)
-        counts: dict[tuple[int, int], int] = {}
-        for d, p in zip(doc[lane].tolist(), hit.tolist()):
-            for item in patterns.owners[p]:
-                counts[ids[d], item] = counts.get((ids[d], item), 0) + 1
-        return pa.RecordBatch.from_pydict({"doc": [d for d, _ in counts], "item": [i for _, i in counts], "words": list(counts.values())}, schema=_HIT_ARROW)
+        end = np.minimum(start + LANE + tables.run - 1, (first + size)[doc])
+        at, h = search(tables, text, start, end)
+        of = np.searchsorted(first + size, at, side="right")
+        stop = (at - first[of] + 1).tolist()
+        words = [" ".join(texts[d][s - tables.run : s]) for d, s in zip(of.tolist(), stop)]
+        return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in of.tolist()], pa.int64()), pa.array(h.view(np.int64)), pa.array(words, pa.string())], schema=_HIT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = patterns.vocabulary.get
+        known: dict[str, int] = {}
+        ids: list[int] = []
+        texts: list[list[str]] = []
+        codes: list[np.ndarray] = []
+        held = 0
         for b in batches:
-            ids, texts, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tail = np.empty(0, np.int64)
-                for words in plain_word_parts(text):
-                    part = np.array([number(w, 0) for w in words], np.int64)
-                    part = np.concatenate([tail, part]) if len(tail) else part
-                    tail = part[1 - patterns.run :]
+                tail: list[str] = []
+                for part in plain_word_parts(text):
+                    words = tail + part
+                    tail = words[1 - tables.run :]
                     ids.append(doc)
-                    texts.append(part)
-                    held += len(part)
+                    texts.append(words)
+                    codes.append(word_codes(words, known))
+                    held += len(words)
                     if held > SEARCHED:
-                        yield flush(ids, texts)
-                        ids, texts, held = [], [], 0
-            yield flush(ids, texts)
+                        yield flush(ids, texts, codes)
+                        ids, texts, codes, held = [], [], [], 0
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+        yield flush(ids, texts, codes)
 
     return run
 
 
-def leaks(documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text", run: int = RUN, pass_words: int = PASS_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text", run: int = RUN, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(doc, item, runs): the documents that hold ``run`` consecutive words of a test item, and how many such runs.
 
     Words are plain words. Items shorter than ``run`` words can't leak; null
     texts hold nothing; several passages or texts of one id count together; null ids
-    are left out. The items are searched for in as many passes as needed to
-    keep the words of one pass under ``pass_words``, so that what every task
-    gets is bounded; each pass reads ids and texts only, shuffles nothing but
-    its hits, and searches whole texts however long.
+    are left out. The corpus is read once, whole texts however long. What every
+    task gets are two tables of one byte a slot, sized by the number of
+    patterns up to a fixed number of bytes; beyond that the windows move on by
+    less, and more of them are compared. Windows that may be a pattern meet
+    the patterns by their hash and are compared word by word; the patterns are
+    sent to all tasks if they have at most ``sent_bytes``, else both are shuffled.
     """
+    if not BLOCK <= run <= 250:
+        raise ValueError("a run has 2 to 250 words")
     documents, passages = only(bound_batches(documents), doc, text), only(passages, item, passage)
-    wanted = passages.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(passage).cast("string").alias("text"), F.length(passage).cast("bigint").alias("n"))
+    wanted = passages.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(passage).cast("string").alias("text"))
     docs = documents.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    size = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    passes = 1 + size // (2 * pass_words)  # a word has two characters at least, with its gap
-    out = None
-    for k in range(passes):
-        chunk = wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        items = [(r["item"], plain_words(r["text"])) for r in chunk.select("item", "text").toLocalIterator()]
-        hits = docs.mapInArrow(_search_all(Patterns(items, run)), _HIT)
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("doc", "item").agg(F.sum("words").alias("runs"))
-
+    patterns = settle(_patterns(wanted, run))
+    size = patterns.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("words") + 16), F.lit(0)).alias("bytes")).first()
+    windows = docs.mapInArrow(_windows(_tables(patterns, size["n"], run)), "doc bigint, hash bigint, words string")
+    side = F.broadcast(patterns) if size["bytes"] <= sent_bytes else patterns.hint("merge")
+    return windows.join(side, ["hash", "words"]).groupBy("doc", "item").agg(F.count("*").alias("runs"))

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from klangsieb.functions.plain import plain_words
 from klangsieb.llm import leakage
-from klangsieb.llm.leakage import Patterns, leaks
+from klangsieb.llm.leakage import MOST_BITS, leaks, table_bits
 
 
 def _brute(docs, items, run=8):
@@ -62,13 +63,13 @@ def test_forms_nulls_and_repeats(spark):
     assert _run(spark, docs, items) == {(1, 10): 2, (4, 10): 1, (6, 10): 4}
 
 
-def test_passes_and_long_text(spark):
+def test_shuffled_patterns_and_long_text(spark):
     rng = random.Random(9)
     items = [(i, " ".join(f"p{i}x{k}" for k in range(12))) for i in range(40)]
     filler = " ".join(rng.choices([f"f{k}" for k in range(500)], k=250_000))
     docs = [(1, filler + " " + items[7][1]), (2, items[3][1] + " " + filler[:100] + " " + items[39][1]), (3, filler)]
     want = _brute(docs, items)
-    assert _run(spark, docs, items, pass_words=50) == want == _run(spark, docs, items)
+    assert _run(spark, docs, items, sent_bytes=0) == want == _run(spark, docs, items)
     assert want.keys() == {(1, 7), (2, 3), (2, 39)}
 
 
@@ -76,7 +77,33 @@ def test_empty_tables(spark):
     assert _run(spark, [], [(1, "a b c d e f g h")]) == {} and _run(spark, [(1, "a b c d e f g h")], []) == {}
 
 
-def test_shifts_skip_and_buckets_share():
-    p = Patterns([(1, list("abcdefgh")), (2, list("abcdefgh")), (3, list("bcdefghi"))])
-    assert p.owners.count([1, 2]) == 1 and p.owners.count([3]) == 1
-    assert p.shift.max() == 7 and p.shift.min() == 0
+def test_tables_have_a_bound():
+    assert [table_bits(n) for n in (0, 200, 1_000_000, 10**12)] == [12, 12, 24, MOST_BITS]
+
+
+def test_shifts_skip_and_buckets_tell_apart(spark):
+    p = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "b c d e f g h i")], "item long, text string")
+    patterns = leakage._patterns(p, 8)
+    assert patterns.count() == 3
+    t = leakage._tables(patterns, 3, 8)
+    assert t.shift.max() == 7 and t.shift.min() == 0 and t.bucket.sum() == 2 and (t.shift < 7).sum() <= 8
+    codes = leakage.word_codes("x a b c d e f g h i b c d e f g h".split(), {})
+    at, _ = leakage.search(t, codes, np.array([0]), np.array([len(codes)]))
+    assert sorted(at.tolist()) == [8, 9]
+
+
+def test_full_tables_miss_nothing(spark, monkeypatch):
+    """With tables far too small for the patterns nearly every window is compared, and the answer is the same."""
+    monkeypatch.setattr(leakage, "MOST_BITS", 7)
+    monkeypatch.setattr(leakage, "LEAST_BITS", 7)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(100)]
+    docs = [(d, " ".join(rng.choices(words, k=50) + items[d % 100][1].split()[5:20])) for d in range(150)]
+    assert _run(spark, docs, items) == _brute(docs, items) != {}
+
+
+@pytest.mark.parametrize("run", [2, 3, 20])
+def test_other_lengths_of_a_leak(spark, run):
+    docs, items = [(1, " ".join("abcdefghijklmnopqrstuvwxyz")), (2, "q r"), (3, "z")], [(7, " ".join("xbcdefghijklmnopqrstuvwx")), (8, "q r s")]
+    assert _run(spark, docs, items, run=run) == _brute(docs, items, run)
