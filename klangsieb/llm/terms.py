@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klangsieb.functions.plain import plain_word_parts, plain_words
+from klangsieb.functions.plain import plain_word_parts
 from klangsieb.operators.ordered import only
 from klangsieb.session import bound_batches, settle
 
@@ -20,9 +22,9 @@ HELD_TERMS = 200_000
 #: Terms that a merged subtree should hold, and the most subtrees there may be.
 SUBTREE_TERMS = 20_000
 MOST_SUBTREES = 16_384
-#: Depth to which prefixes are weighed, and the terms below which a worker doesn't report a prefix.
+#: Length of a prefix beyond which a heavy subtree is parted by a hash of its terms.
 DEPTH = 24
-LIGHT = 8
+#: Characters of a text that are taken apart at once.
 LONG_TEXT = 1 << 20
 
 
@@ -30,18 +32,24 @@ class BurstTrie:
     """Counters by term: inner nodes branch by one character, containers hold the rest of the terms.
 
     A node is a dict. An inner node maps a character (or '' for a term that
-    ends here) to a node; a container maps the rest of a term to [occurrences,
-    records] and turns into an inner node when it exceeds ``burst`` terms.
+    ends here) to a node; a container maps the rest of a term to its slot and
+    turns into an inner node when it exceeds ``burst`` terms. The counters of
+    a slot lie in arrays of numbers, eight bytes each.
     """
 
-    __slots__ = ("burst", "inner", "root", "size")
+    __slots__ = ("_last", "burst", "inner", "occurrences", "records", "root")
 
     def __init__(self, burst: int = BURST) -> None:
-        self.burst, self.size = burst, 0
+        self.burst = burst
         self.root: dict = {}
         self.inner: set[int] = set()  # ids of inner nodes, all of which the trie keeps alive
+        self.occurrences, self.records, self._last = array("q"), array("q"), array("q")
 
-    def add(self, term: str, occurrences: int, records: int) -> None:
+    @property
+    def size(self) -> int:
+        return len(self.occurrences)
+
+    def slot(self, term: str) -> int:
         node, depth, inner = self.root, 0, self.inner
         while id(node) in inner:
             char = term[depth : depth + 1]
@@ -53,26 +61,41 @@ class BurstTrie:
                 break
         rest = term[depth:]
         have = node.get(rest)
-        if have:
-            have[0] += occurrences
-            have[1] += records
-            return
-        node[rest] = [occurrences, records]
-        self.size += 1
-        if len(node) > self.burst:
-            self._split(node)
+        if have is None:
+            have = node[rest] = len(self.occurrences)
+            for counter in (self.occurrences, self.records):
+                counter.append(0)
+            self._last.append(-1)
+            if len(node) > self.burst:
+                self._split(node)
+        return have
+
+    def add(self, term: str, occurrences: int, records: int) -> None:
+        at = self.slot(term)
+        self.occurrences[at] += occurrences
+        self.records[at] += records
+
+    def count(self, words: list[str], record: int) -> None:
+        """Count words of one record, which may come in several parts."""
+        slot, occurrences, records, last = self.slot, self.occurrences, self.records, self._last
+        for w in words:
+            at = slot(w)
+            occurrences[at] += 1
+            if last[at] != record:
+                last[at] = record
+                records[at] += 1
 
     def _split(self, node: dict) -> None:
         old = list(node.items())
         node.clear()
         self.inner.add(id(node))
-        for rest, counts in old:
-            node.setdefault(rest[:1], {})[rest[1:]] = counts
+        for rest, at in old:
+            node.setdefault(rest[:1], {})[rest[1:]] = at
         for child in node.values():
             if len(child) > self.burst:
                 self._split(child)
 
-    def containers(self) -> Iterator[tuple[str, dict]]:
+    def containers(self) -> Iterator[tuple[str, dict[str, int]]]:
         """(prefix, container), in the order of the prefixes."""
         todo: list[tuple[str, dict]] = [("", self.root)]
         while todo:
@@ -93,62 +116,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _hand_over(trie: BurstTrie) -> Iterator[pa.RecordBatch]:
-    """The containers of a trie as packed rows, and the number of terms below its heavier prefixes."""
-    weight: Counter = Counter()
+    """The containers of a trie as packed rows."""
     rows, held = [], 0
     for prefix, box in trie.containers():
         rest = sorted(box)
-        rows.append(("box", prefix, len(rest), rest, [box[r][0] for r in rest], [box[r][1] for r in rest]))
+        at = [box[r] for r in rest]
+        rows.append(("box", prefix, len(rest), rest, [trie.occurrences[k] for k in at], [trie.records[k] for k in at]))
         held += len(rest)
-        for r in rest:
-            term = prefix + r
-            weight.update([term[:d] for d in range(1, min(len(term), DEPTH) + 1)])
         if held > 50_000:
             yield _batch(rows)
             rows, held = [], 0
-    yield _batch(rows + [("weight", p, n, None, None, None) for p, n in weight.items() if n > LIGHT])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie, records = BurstTrie(), 0
-    occurs: Counter = Counter()
-    holds: Counter = Counter()
-
-    def into_trie() -> None:
-        for term, n in occurs.items():
-            trie.add(term, n, holds[term])
-        occurs.clear()
-        holds.clear()
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            records += 1
-            if not text:
-                continue
-            if len(text) < LONG_TEXT:
-                words = plain_words(text)
-                occurs.update(words)
-                holds.update(set(words))
-            else:
-                seen: set[str] = set()
-                for words in plain_word_parts(text):
-                    occurs.update(words)
-                    seen.update(words)
-                holds.update(seen)
-            if len(occurs) > HELD_TERMS // 4:
-                into_trie()
-                if trie.size > HELD_TERMS:
+    yield _batch(rows)
+
+
+def _count(held_terms: int, long_text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, records = BurstTrie(), 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                records += 1
+                for words in plain_word_parts(text, long_text):
+                    trie.count(words, records)
+                if trie.size > held_terms:
                     yield from _hand_over(trie)
                     trie = BurstTrie()
-    into_trie()
-    if trie.size:
-        yield from _hand_over(trie)
-    yield _batch([("total", "", records, None, None, None)])
+        if trie.size:
+            yield from _hand_over(trie)
+        yield _batch([("total", "", records, None, None, None)])
+
+    return run
 
 
-def choose_splits(weights: list[tuple[str, int]], most: float) -> frozenset[str]:
-    """Prefixes that hold more than ``most`` terms: the inner nodes of the trie that all workers route by."""
-    return frozenset([""] + [p for p, n in weights if n > most])
+def choose_routes(boxes: DataFrame, most: float) -> tuple[frozenset[str], dict[str, int]]:
+    """The prefixes that all workers route by, chosen by the number of entries below them.
+
+    Returns ``(splits, parts)``: a prefix with more than ``most`` entries is
+    split by its next character, two lengths at a time for as long as there
+    are such prefixes; at most entries / most of them per length reach the
+    driver. Where a prefix of ``DEPTH`` characters is still too heavy, its
+    terms are dealt by hash into as many ``parts`` as it needs.
+    """
+    splits, heavy, depth = {""}, [""], 0
+    terms = boxes.select(F.explode(F.transform("rest", lambda r: F.concat("prefix", r))).alias("term"))
+    weights: dict[str, int] = {}
+    while heavy and depth < DEPTH:
+        length = F.explode(F.array(F.lit(depth + 1), F.lit(depth + 2))).alias("d")
+        above = terms.sparkSession.createDataFrame([(h,) for h in heavy], "above string")
+        below = terms.join(F.broadcast(above), F.substring("term", 1, depth) == F.col("above"), "left_semi") if depth else terms
+        rows = below.select("term", length).where(F.length("term") >= F.col("d"))
+        counted = rows.groupBy(F.expr("substring(term, 1, d)").alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+        weights = {r["p"]: r["n"] for r in counted}
+        splits.update(weights)
+        depth += 2
+        heavy = [p for p in weights if len(p) == depth]
+    deep = {p: math.ceil(weights[p] / most) for p in heavy}
+    return frozenset(splits - set(deep)), deep
 
 
 def route(term: str, splits: frozenset[str]) -> int:
@@ -159,42 +181,41 @@ def route(term: str, splits: frozenset[str]) -> int:
     return depth
 
 
-def term_counts(records: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def term_counts(records: DataFrame, text: str = "text", held_terms: int = HELD_TERMS, subtree_terms: int = SUBTREE_TERMS, long_text: int = LONG_TEXT) -> tuple[DataFrame, DataFrame]:
     """How often every plain word occurs and in how many records; one input row is one record.
 
     Returns ``(terms, total)``: ``terms`` with (term, occurrences, records),
     ``total`` with one row ``n_records``. Records with null or blank text count
     as records without terms; no row gives no terms and 0 records.
 
-    Every task fills a burst trie and hands over its containers, packed, with
-    the number of terms below each prefix. From the summed weights (at most
-    ``MOST_SUBTREES`` prefixes per level reach the driver) the common routing
-    prefixes are chosen, so that a merged subtree has about
-    ``SUBTREE_TERMS`` terms however the terms crowd. Containers are cut along
+    Every task counts in a burst trie and hands over its containers, packed.
+    From the number of entries below each prefix the common routing prefixes
+    are chosen (``choose_routes``), so that a merged subtree has about
+    ``subtree_terms`` entries however the terms crowd. Containers are cut along
     those prefixes, shuffled by prefix, and matching subtrees are merged.
     A term that occurs in all records is one entry per trie handed over.
     """
-    packed = settle(only(bound_batches(records), text).select(F.col(text).cast("string").alias("text")).mapInArrow(_count, _PACKED_SQL))
+    packed = settle(only(bound_batches(records), text).select(F.col(text).cast("string").alias("text")).mapInArrow(_count(held_terms, long_text), _PACKED_SQL))
     total = packed.where("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_records"))
     boxes = packed.where("kind = 'box'")
     entries = boxes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    most = max(SUBTREE_TERMS, entries / MOST_SUBTREES)
-    heavy = packed.where("kind = 'weight'").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
-    splits = choose_splits([(r["prefix"], r["n"]) for r in heavy], most)
+    most = max(subtree_terms, entries / MOST_SUBTREES)
+    splits, parts_of = choose_routes(boxes, most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for prefix, rest, occ, rec in zip(*(b.column(i).to_pylist() for i in range(4))):
-                parts: dict[str, tuple[list, list, list]] = {}
+                groups: dict[tuple[str, int], tuple[list, list, list]] = {}
                 for r, o, k in zip(rest, occ, rec):
                     term = prefix + r
                     d = route(term, splits)
-                    part = parts.setdefault(term[:d], ([], [], []))
-                    part[0].append(term[d:])
-                    part[1].append(o)
-                    part[2].append(k)
-                out += [("box", p, len(x[0]), *x) for p, x in parts.items()]
+                    p = term[:d]
+                    group = groups.setdefault((p, zlib.crc32(term.encode("utf-8", "surrogatepass")) % parts_of.get(p, 1)), ([], [], []))
+                    group[0].append(term[d:])
+                    group[1].append(o)
+                    group[2].append(k)
+                out += [("box", p, part, *x) for (p, part), x in groups.items()]
             yield _batch(out)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,11 +223,11 @@ def term_counts(records: DataFrame, text: str = "text") -> tuple[DataFrame, Data
         for rest, occ, rec in zip(pdf["rest"], pdf["occurrences"], pdf["records"]):
             for r, o, k in zip(rest, occ.tolist(), rec.tolist()):
                 subtree.add(r, o, k)
-        out = [(prefix + p + r, *c) for p, box in subtree.containers() for r, c in sorted(box.items())]
+        out = [(prefix + p + r, subtree.occurrences[box[r]], subtree.records[box[r]]) for p, box in subtree.containers() for r in sorted(box)]
         return pd.DataFrame(out, columns=["term", "occurrences", "records"])
 
     routed = boxes.select("prefix", "rest", "occurrences", "records").mapInArrow(cut, _PACKED_SQL)
-    terms = routed.select("prefix", "rest", "occurrences", "records").groupBy("prefix").applyInPandas(merge, _MERGED_SQL)
+    terms = routed.select("prefix", F.col("n").alias("part"), "rest", "occurrences", "records").groupBy("prefix", "part").applyInPandas(merge, _MERGED_SQL)
     return terms, total
 
 
