@@ -166,6 +166,12 @@ def guide(unconditional: Column, conditional: Column, scale: float) -> Column:
     return F.zip_with(unconditional, conditional, lambda u, c: u + F.lit(scale) * (c - u))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as DuckDB does it: scaled, half away from zero, scaled back; a negative number that comes to zero is -0.0, which Spark's ``round`` loses."""
+    places = F.round(x * F.lit(10.0**digits))
+    return F.when(places == 0, x * F.lit(0.0)).when(F.abs(places) < F.lit(float("inf")), places / F.lit(10.0**digits)).otherwise(x)
+
+
 def mask_range(a: Column, low: int, high: int) -> Column:
     """Minus infinity at places ``low`` to ``high``."""
     return F.transform(a, lambda x, i: F.when(i.between(low, high), F.lit(float("-inf"))).otherwise(x))

@@ -121,9 +121,10 @@ def repetition_penalty(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("guidance_blend", f"select a.vec_id, list_transform(list_zip(b.l, a.l), lambda z: round(z[1] + 3.0::double * (z[2] - z[1]), 6)) as l from {_LOGITS} a join {_LOGITS} b on b.vec_id = a.vec_id // 2")
 def guidance_blend(spark: SparkSession, folder: str) -> DataFrame:
-    l = _logits(spark, folder)
+    """Each row is blended with the one of half its number, cut towards zero; an array that is missing counts as one without values."""
+    l = _logits(spark, folder).withColumn("l", F.coalesce("l", F.array().cast("array<double>")))
     other = l.select(F.col("vec_id").alias("o"), F.col("l").alias("u"))
-    return l.join(other, F.floor(F.col("vec_id") / 2) == F.col("o")).select("vec_id", F.transform(arrays.guide(F.col("u"), F.col("l"), 3.0), lambda x: F.round(x, 6)).alias("l"))
+    return l.join(other, F.expr("vec_id div 2 = o")).select("vec_id", F.transform(arrays.guide(F.col("u"), F.col("l"), 3.0), lambda x: arrays.rounded(x, 6)).alias("l"))
 
 
 @query("json_profile_validate", "select event_id, list_filter([case when k % 3 <> 0 then 'version' end, case when k % 5 <> 0 then 'text_aligned' end], lambda x: x is not null) as faults from (select event_id, json_extract(props, '$.k')::int as k from events) where k % 3 <> 0 or k % 5 <> 0")

@@ -69,3 +69,16 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert SQL.keys() <= QUERIES.keys()
+
+
+def test_guidance_keeps_the_sign_of_zero_and_takes_odd_rows(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.2916, 0.1, -1e-5, nan, inf, -0.0, 1e10]), (1, [0.1944, 0.1, 0.0, 1.0, inf, 0.0, -1e9]), (-1, [0.1, 0.2]), (-3, []), (2, None), (4, [1.0, None, 2.0]), (5, None), (2**62 + 1, [1.0]), (2**61, [2.0]), (None, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    signed = lambda rows: sorted(repr((r[0], r[1])) for r in rows)
+    c = duckdb.connect()
+    for folder, files in ((tmp_path, "embeddings.parquet/*.parquet"), ("/root/testdata/sf0.01", "embeddings.parquet")):
+        c.execute(f"create or replace view embeddings as select * from '{folder}/{files}'")
+        want = signed(c.execute(f"select vec_id, l from ({SQL['guidance_blend']})").fetchall())
+        assert signed(QUERIES["guidance_blend"](spark, str(folder)).select("vec_id", "l").collect()) == want
+        assert any("-0.0" in x for x in want)

@@ -100,3 +100,9 @@ def test_arrays(spark):
     assert m == pytest.approx([2.0, 0.0])
     with pytest.raises(Exception, match="nothing is left"):
         spark.range(1).select(arrays.drop_last(F.array(F.lit(1)))).collect()
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    cases = [(-1e-9, "-0.0"), (-0.0, "-0.0"), (0.0, "0.0"), (1e-9, "0.0"), (-5e-7, "-1e-06"), (2.5e-6, "3e-06"), (1.25, "1.25"), (1e305, "1e+305"), (float("-inf"), "-inf"), (float("nan"), "nan"), (None, "None")]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x double").select("i", arrays.rounded(F.col("x"), 6)).collect()
+    assert [repr(r[1]) for r in sorted(rows)] == [w for _, w in cases]
