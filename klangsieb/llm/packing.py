@@ -18,9 +18,14 @@ CAPACITY = 8192
 #: Items of one cell (a subproblem that every island of it packs), islands a cell, chromosomes an island.
 CELL = 1000
 ISLANDS = 3
-POPULATION = 3
+POPULATION = 12
 EPOCHS = 2
-GENERATIONS = 3
+#: An epoch of an island ends after this many generations without a better chromosome, or where none better can exist.
+PATIENCE = 5
+#: Share of its other bins that a crossover dissolves at random.
+MUTATION = 0.03
+#: Islands of one task: they are seconds of work in few bytes, which would else be joined to one task.
+TASK_ISLANDS = 10
 #: Bins filled less than this are packed again, with those of other cells, in the next round.
 WELL_FILLED = 0.998
 ROUNDS = 2
@@ -65,6 +70,52 @@ def best_fit(order: list[int], sizes: list[int], capacity: int, bins: list[list[
     return Chromosome(bins, fills)
 
 
+def refill(displaced: list[int], sizes: list[int], capacity: int, bins: list[list[int]], fills: list[int]) -> Chromosome:
+    """Fill the bins given, the fullest first, then new ones: with the one or two items that leave no room, else with the largest that fits."""
+    stock: dict[int, list[int]] = {}
+    for i in displaced:
+        stock.setdefault(sizes[i], []).append(i)
+    empty = stock.pop(0, [])
+    order = sorted(stock)
+
+    def take(s: int, b: int) -> None:
+        bins[b].append(stock[s].pop())
+        fills[b] += s
+        if not stock[s]:
+            del stock[s]
+            order.pop(bisect.bisect_left(order, s))
+
+    todo = sorted((b for b in range(len(bins)) if fills[b] < capacity), key=lambda b: fills[b])
+    while order:
+        if todo:
+            b = todo.pop()
+        else:
+            b = len(bins)
+            bins.append([])
+            fills.append(0)
+            take(order[-1], b)
+        while order and order[0] <= (room := capacity - fills[b]):
+            if room in stock:
+                take(room, b)
+                break
+            fitting = bisect.bisect_left(order, room)
+            halves = bisect.bisect_right(order, room // 2)
+            pair = next((s for s in reversed(order[halves:fitting]) if room - s in stock), 0)
+            if not pair and room % 2 == 0 and len(stock.get(room // 2, [])) > 1:
+                pair = room // 2
+            if pair:
+                take(pair, b)
+                take(room - pair, b)
+                break
+            take(order[fitting - 1], b)
+    if empty:
+        if not bins:
+            bins.append([])
+            fills.append(0)
+        bins[0] += empty
+    return Chromosome(bins, fills)
+
+
 def from_labels(labels: list[int], sizes: list[int]) -> Chromosome:
     n = max(labels, default=-1) + 1
     bins: list[list[int]] = [[] for _ in range(n)]
@@ -78,12 +129,11 @@ def from_labels(labels: list[int], sizes: list[int]) -> Chromosome:
 def crossover(a: Chromosome, b: Chromosome, sizes: list[int], capacity: int, rng: np.random.Generator) -> Chromosome:
     """A child of ``a`` that takes over whole well-filled bins of ``b``.
 
-    Bins of ``a`` that hold an injected item are dissolved; the least filled
-    bins of what is left, too; displaced items go where they fit best, the
-    largest first.
+    Bins of ``a`` that hold an injected item are dissolved; of what is left the
+    least filled bins and a few others, too; displaced items fill the gaps.
     """
     full = sorted(range(len(b.bins)), key=lambda k: -b.fills[k])[: max(1, len(b.bins) // 2)]
-    chosen = [full[k] for k in np.flatnonzero(rng.random(len(full)) < 0.5)] or full[:1]
+    chosen = [full[k] for k in np.flatnonzero(rng.random(len(full)) < rng.random())] or full[:1]
     bins, fills = [b.bins[k] for k in chosen], [b.fills[k] for k in chosen]
     injected = {i for items in bins for i in items}
     displaced: list[int] = []
@@ -95,27 +145,39 @@ def crossover(a: Chromosome, b: Chromosome, sizes: list[int], capacity: int, rng
             displaced += [i for i in items if i not in injected]
     kept.sort(key=lambda x: -x[0])
     spared = len(kept) - max(1, len(kept) // 20)
-    for fill, items in kept[: max(spared, 0)]:
-        bins.append(items)
-        fills.append(fill)
-    for _, items in kept[max(spared, 0) :]:
-        displaced += items
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, capacity, [list(x) for x in bins], fills)
-
-
-def evolve(population: list[Chromosome], sizes: list[int], capacity: int, generations: int, rng: np.random.Generator) -> list[Chromosome]:
-    """Each generation a child of two parents takes the place of the worst, if it is better."""
-    population.sort(key=lambda c: -c.fitness(capacity))
-    for _ in range(generations * len(population)):
-        if len(population) < 2:
-            break
-        x, y = rng.choice(len(population), 2, replace=False)
-        child = crossover(population[x], population[y], sizes, capacity, rng)
-        if child.fitness(capacity) > population[-1].fitness(capacity):
-            population[-1] = child
-            population.sort(key=lambda c: -c.fitness(capacity))
-    return population
+    for k, ((fill, items), x) in enumerate(zip(kept, rng.random(len(kept)))):
+        if k < spared and x >= MUTATION:
+            bins.append(items)
+            fills.append(fill)
+        else:
+            displaced += items
+    return refill(displaced, sizes, capacity, [list(x) for x in bins], fills)
+
+
+def ideal(sizes: list[int], capacity: int) -> float:
+    """No fitness can be above this: all bins full but one."""
+    full, rest = divmod(sum(sizes), capacity)
+    return (full + (rest / capacity) ** 2) / max(1, full + (rest > 0))
+
+
+def evolve(population: list[Chromosome], sizes: list[int], capacity: int, patience: int, rng: np.random.Generator) -> list[Chromosome]:
+    """Children take the place of the worst, if they are better and unlike the others, until the best stays the same for ``patience`` generations or is ideal."""
+    ranked = sorted(((c.fitness(capacity), c) for c in population), key=lambda x: -x[0])
+    enough = ideal(sizes, capacity) - 1e-12
+    idle = 0
+    while len(ranked) > 1 and idle < patience and ranked[0][0] < enough:
+        best = ranked[0][0]
+        for _ in range(len(ranked)):
+            x, y = rng.choice(len(ranked), 2, replace=False)
+            child = crossover(ranked[x][1], ranked[y][1], sizes, capacity, rng)
+            fitness = child.fitness(capacity)
+            if fitness > ranked[-1][0] and all(fitness != f for f, _ in ranked):
+                ranked[-1] = (fitness, child)
+                ranked.sort(key=lambda x: -x[0])
+            if fitness >= enough:
+                break
+        idle = 0 if ranked[0][0] > best else idle + 1
+    return [c for _, c in ranked]
 
 
 def first_population(sizes: list[int], capacity: int, n: int, island: int, rng: np.random.Generator) -> list[Chromosome]:
@@ -131,37 +193,37 @@ def first_population(sizes: list[int], capacity: int, n: int, island: int, rng:
 _STATE = "cell bigint, island int, sizes array<int>, labels array<int>, fitness double, elite boolean"
 
 
-def _epoch(capacity: int, epoch: int, population: int, generations: int, seed: int):
+def _epoch(capacity: int, epoch: int, population: int, patience: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, island = int(pdf["cell"].iat[0]), int(pdf["island"].iat[0])
-        sizes = [int(x) for x in pdf["sizes"].iat[0]]
+        sizes = [int(x) for x in pdf["sizes"].dropna().iat[0]]
         rng = np.random.default_rng([seed, cell & 0x7FFFFFFF, island, epoch])
         if epoch == 0:
             people = first_population(sizes, capacity, population, island, rng)
         else:
-            rows = sorted(zip(-pdf["fitness"], pdf["elite"], (x.tolist() for x in pdf["labels"])), key=lambda r: (r[0], r[1]))
+            rows = sorted(zip(-pdf["fitness"], pdf["elite"], (x.tolist() for x in pdf["labels"])))
             people = [from_labels(labels, sizes) for _, _, labels in rows]
-        people = evolve(people, sizes, capacity, generations, rng)[:population]
+        people = evolve(people, sizes, capacity, patience, rng)[:population]
         return pd.DataFrame(
-            {"cell": cell, "island": island, "sizes": [sizes] * len(people), "labels": [p.labels(len(sizes)) for p in people], "fitness": [p.fitness(capacity) for p in people], "elite": [k == 0 for k in range(len(people))]}
+            {"cell": cell, "island": island, "sizes": [sizes if k == 0 else None for k in range(len(people))], "labels": [p.labels(len(sizes)) for p in people], "fitness": [p.fitness(capacity) for p in people], "elite": [k == 0 for k in range(len(people))]}
         )
 
     return run
 
 
-def pack_cells(cells: DataFrame, capacity: int, islands: int = ISLANDS, population: int = POPULATION, epochs: int = EPOCHS, generations: int = GENERATIONS, seed: int = 7) -> DataFrame:
-    """The best labels of every cell: (cell, labels) for cells (cell, sizes).
+def pack_cells(cells: DataFrame, count: int, capacity: int, islands: int = ISLANDS, population: int = POPULATION, epochs: int = EPOCHS, patience: int = PATIENCE, seed: int = 7) -> DataFrame:
+    """The best labels of every cell: (cell, labels) for ``count`` cells (cell, sizes).
 
     Every (cell, island) is one group of a task. Between epochs the elite of an
     island goes to the next island of its cell, as one row of the shuffle that
-    groups the islands again.
+    groups the islands again. Only the elite's row carries the sizes.
     """
     state = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.lit(None).cast("array<int>").alias("labels"), F.lit(None).cast("double").alias("fitness"), F.lit(False).alias("elite"))
     for epoch in range(epochs):
         if epoch:
             moved = F.when(F.col("elite"), F.array(F.col("island"), ((F.col("island") + 1) % islands).cast("int"))).otherwise(F.array("island"))
             state = state.withColumn("island", F.explode(moved))
-        state = state.groupBy("cell", "island").applyInPandas(_epoch(capacity, epoch, population, generations, seed), _STATE)
+        state = state.repartition(max(1, count * islands // TASK_ISLANDS), "cell", "island").groupBy("cell", "island").applyInPandas(_epoch(capacity, epoch, population, patience, seed), _STATE)
     best = state.where("elite").groupBy("cell").agg(F.max_by("labels", F.struct("fitness", -F.col("island"))).alias("labels"))
     return best
 
@@ -196,7 +258,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, cell:
         cells = max(1, math.ceil(n / cell))
         row = F.struct(F.xxhash64("item", "of", F.lit(r)).alias("_h"), "item", "piece", "start", "part", "of")
         boxed = settle(todo.withColumn("cell", F.pmod(F.xxhash64("item", "of", F.lit(r)), F.lit(cells))).groupBy("cell").agg(F.array_sort(F.collect_list(row)).alias("rows")))
-        best = pack_cells(boxed.select("cell", F.col("rows.part").alias("sizes")), capacity, **how)
+        best = pack_cells(boxed.select("cell", F.col("rows.part").alias("sizes")), cells, capacity, **how)
         placed = boxed.join(best.hint("merge"), "cell").select("cell", F.explode(F.arrays_zip("rows", "labels")).alias("x")).select("cell", F.col("x.labels").alias("label"), "x.rows.*")
         if r + 1 == rounds:
             last = placed

@@ -88,3 +88,20 @@ def test_same_rows_same_result(spark):
     df = spark.createDataFrame([(i, 1 + i * 37 % 90) for i in range(300)], "item long, size long")
     a, b = (sorted(map(tuple, pack(d, "item", "size", capacity=CAP).collect())) for d in (df, df.repartition(7)))
     assert a == b
+
+
+def test_search_goes_on_until_it_gains_nothing(spark):
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(2048, 4097, 400)]  # two or three to a container: best fit leaves much room
+    greedy = len(best_fit(sorted(range(400), key=lambda i: -sizes[i]), sizes, 8192, [], []).bins)
+    rows = pack(spark.createDataFrame(list(enumerate(sizes)), "item long, size long"), "item", "size").collect()
+    assert {r["item"]: r["size"] for r in rows} == dict(enumerate(sizes))
+    assert len({r["container"] for r in rows}) <= 0.97 * greedy
+
+
+def test_search_fills_all_containers_but_one():
+    sizes = [int(x) for x in np.random.default_rng(2).integers(1, 60, 300)]
+    start = first_population(sizes, CAP, 3, 1, np.random.default_rng(1))
+    end = evolve(start, sizes, CAP, 5, np.random.default_rng(1))[0]
+    _valid(end, sizes)
+    assert sorted(end.fills)[1:] == [CAP] * (len(end.fills) - 1) and len(end.fills) == -(-sum(sizes) // CAP)
